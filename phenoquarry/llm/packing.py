@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -19,7 +20,9 @@ from .common import materialize
 LENGTH = 2048
 END = 1
 #: Distinct word chunks whose ids a worker keeps.
-KEPT = 400_000
+KEPT = 800_000
+#: Where a run of white space isn't cut at its last blank: the run may be one token, so such a text goes whole.
+_RUN = re.compile("[\\s\u180e] (?![^\\s\u180e])")
 
 
 class Chunks(dict):
@@ -32,7 +35,13 @@ class Chunks(dict):
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+        head, line, tail = chunk.partition("\n")
+        if line and head and tail and not head[-1].isspace() and not tail[0].isspace():
+            return self[head] + self[line] + self[tail]
+        if chunk[-1:] in (".", ",") and chunk[-2:-1].isalpha():
+            ids = self[chunk[:-1]] + self[chunk[-1]]
+        else:
+            ids = self.tokens(chunk)
         if len(chunk) < 100:
             self[chunk] = ids
         return ids
@@ -40,9 +49,9 @@ class Chunks(dict):
     def of(self, text: str) -> bytes:
         if len(self) > KEPT:
             self.clear()
-        words = text.split(" ")
-        if "" in words:  # a run of blanks, or one at an end: there, a blank may go with its neighbours
+        if _RUN.search(text):
             return self.tokens(text)
+        words = text.split(" ")
         return b"".join(map(self.__getitem__, [words[0], *[" " + w for w in words[1:]]]))
 
     def tokens(self, text: str) -> bytes:
