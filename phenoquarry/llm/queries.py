@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, linededup, media, packing, simhash, warc
+from . import decontam, langid, licences, linededup, media, packing, simhash, urltrust, warc
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,11 +40,19 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_t(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan_documents(_t(spark, sf_dir, "documents"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linededup.dedup_lines(_t(spark, sf_dir, "documents"))
     return out.select("doc_id", "text", "n_lines", "n_dropped")
 
 
+def op10_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urltrust.judge(_t(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_warc": op2_warc,
@@ -52,7 +60,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_media": op4_media,
     "op5_language": op5_language,
     "op7_packing": op7_packing,
+    "op8_licences": op8_licences,
     "op9_line_dedup": op9_line_dedup,
+    "op10_url_trust": op10_url_trust,
 }
 
 ORACLE_SQL: dict[str, str] = {}
