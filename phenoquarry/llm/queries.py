@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, licences, linededup, media, packing, simhash, urltrust, warc
+from . import decontam, langid, licences, linededup, media, packing, simhash, substring, urltrust, warc
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_t(spark, sf_dir, "documents"))
 
 
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(_t(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
     "op4_media": op4_media,
     "op5_language": op5_language,
+    "op6_substrings": op6_substrings,
     "op7_packing": op7_packing,
     "op8_licences": op8_licences,
     "op9_line_dedup": op9_line_dedup,
