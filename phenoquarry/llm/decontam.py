@@ -75,7 +75,7 @@ def contaminated_windows(documents: DataFrame, benchmark: DataFrame, window: int
         # No filter on w and an outer explode: either filter would be pushed below and tokenise every text once more.
         places = F.when(F.size("w") >= s, F.sequence(F.lit(0), F.size("w") - s))
         at = docs.select("doc_id", "key", "w", "wh", F.explode_outer(places).alias("p"))
-        h = F.xxhash64(*[F.element_at("wh", F.col("p") + k) for k in range(1, s + 1)])  # as _shingle() has it
+        h = F.xxhash64(*[F.try_element_at("wh", F.col("p") + k) for k in range(1, s + 1)])  # as _shingle() has it
         at = at.select("doc_id", "key", "w", "p", h.alias("h"))
         own = materialize(known.where(F.col("s") == s).select("h"), "tokens")
         at = at.join(_sized(own, broadcast_rows), "h")
