@@ -1,7 +1,7 @@
 """Line dedup: exact copies by digest, near copies by a deletion-neighbourhood join, and the earliest line stays.
 
 Lines are compared without surrounding blanks, character by character. Two lines within one edit agree outside one of
-SEGMENTS segments, so only lines that share all else with another line emit their deletion variants, and only of that
+a few segments, so only lines that share all else with another line emit their deletion variants, and only of that
 segment. A variant is keyed so that a group needs no pairs: lines that lose the same place are one substitution apart,
 and a line that loses a character meets the one line it becomes. The least line of each group is the partner to verify.
 """
@@ -14,41 +14,48 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import materialize, text_key
+from .common import materialize, small_enough, text_key
 
 #: Shorter lines (blanks, braces, bullets) are never duplicates.
 MIN_CHARS = 16
-SEGMENTS = 4
+#: Segments of the first test (a half of each line is equal) and of the second, whose rest is all that variants vary.
+COARSE, FINE = 2, 8
+#: Rows up to which keys or repeated lines are broadcast; beyond it they are joined by a shuffle.
+BROADCAST_ROWS = 300_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 SUBSTITUTED, SHORTER, LONGER = 0, 1, 2
 
 
-
-def _segment_keys(norm: Column) -> Column:
-    """For each segment, and for the line as the shorter (or equal) and as the longer of two: a hash of all outside the segment."""
+def _segment_keys(norm: Column, segments: int) -> Column:
+    """For the line as the shorter (or equal) of two and as the longer, for each segment: k (hash of all outside it), less, j."""
     keys = []
     for less in (0, 1):
         c = F.length(norm) - less
-        for j in range(SEGMENTS):
-            lo, hi = F.floor(c * j / F.lit(SEGMENTS)).cast("int"), F.floor(c * (j + 1) / F.lit(SEGMENTS)).cast("int")
+        for j in range(segments):
+            lo, hi = F.floor(c * j / F.lit(segments)).cast("int"), F.floor(c * (j + 1) / F.lit(segments)).cast("int")
             outside = F.xxhash64(c, F.lit(j), F.substring(norm, F.lit(1), lo), F.substring(norm, F.length(norm) - (c - hi) + 1, c - hi))
             keys.append(F.struct(outside.alias("k"), F.lit(less).alias("less"), F.lit(j).alias("j")))
     return F.array(*keys)
 
 
 def _lines(documents: DataFrame, min_chars: int) -> DataFrame:
+    """at (doc_id, key: digest of the text, n: line number from 0), norm (the line without blanks around), id1 and id2 (its 128-bit digest)."""
     d = documents.select("doc_id", text_key(F.col("text")).alias("key"), F.split(F.coalesce("text", F.lit("")), "\n").alias("ls"))
     d = d.select("doc_id", "key", F.posexplode_outer("ls").alias("n", "line"))
-    d = d.select("doc_id", "key", "n", F.trim("line").alias("norm"))
-    return d.where(F.length("norm") >= min_chars)
+    d = d.select(F.struct("doc_id", "key", "n").alias("at"), F.trim("line").alias("norm")).where(F.length("norm") >= min_chars)
+    return d.select("at", "norm", F.xxhash64("norm").alias("id1"), F.xxhash64(F.lit(7), "norm").alias("id2"))
+
+
+def _sized(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if small_enough(df, BROADCAST_ROWS) else df
 
 
-def _ids(norm: Column) -> list[Column]:
-    """A 128-bit digest as two longs."""
-    return [F.xxhash64(norm).alias("id1"), F.xxhash64(F.lit(7), norm).alias("id2")]
+def _sharing(keyed: DataFrame, tag: str) -> DataFrame:
+    """Of rows (id1, p: segment keys), those keys k that different lines have."""
+    shared = keyed.select("id1", F.explode("p.k").alias("k")).groupBy("k").agg(F.min("id1").alias("x"), F.max("id1").alias("y"))
+    return materialize(shared.where("x <> y").select("k"), tag)
 
 
 def _deletions(r: np.ndarray) -> tuple[np.uint64, np.ndarray]:
@@ -68,9 +75,8 @@ def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def flush(b: pa.RecordBatch):
         rows = pa.array(np.concatenate(out_row))
         cols = [pa.array(np.concatenate(out_v).view(np.int64)), pa.array(np.concatenate(out_role))]
-        rest = b.select(["at", "id1", "id2"]).take(rows)
         out_v.clear(), out_role.clear(), out_row.clear()
-        return pa.RecordBatch.from_arrays([*cols, *rest.columns], ["v", "role", *rest.schema.names])
+        return pa.RecordBatch.from_arrays([*cols, b.column("id1").take(rows)], ["v", "role", "id1"])
 
     def add(row: int, role: int, v: np.ndarray):
         out_v.append(v)
@@ -85,7 +91,7 @@ def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 x = np.frombuffer(norm.encode("utf-32-le", "surrogatepass"), np.uint32)
                 for p in places:
                     c = len(x) - p["less"]
-                    lo, hi = c * p["j"] // SEGMENTS, c * (p["j"] + 1) // SEGMENTS
+                    lo, hi = c * p["j"] // FINE, c * (p["j"] + 1) // FINE
                     whole, less = _deletions(x[lo : len(x) - (c - hi)])
                     k = np.uint64(p["k"] & (1 << 64) - 1)
                     full = (np.append(whole, less) ^ k) * _BASE
@@ -102,52 +108,44 @@ def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield flush(b)
 
 
-def _near(first: DataFrame, documents: DataFrame) -> DataFrame:
-    """id1, id2 of distinct lines within one edit of an earlier one. first: a row (at, id1, id2, ks) for each distinct line."""
-    keyed = first.select("at", "id1", "id2", F.explode("ks").alias("p"))
-    shared = keyed.groupBy("p.k").agg(F.min("id1").alias("x"), F.max("id1").alias("y")).where("x <> y").select("k")
-    keyed = keyed.join(shared.withColumnRenamed("k", "k_"), F.col("p.k") == F.col("k_"), "left_semi")
-    alive = materialize(keyed.groupBy("at", "id1", "id2").agg(F.collect_list("p").alias("places")), "alive")
-
-    # The survivors' text, from their first places.
-    per_doc = alive.groupBy("at.doc_id", "at.key").agg(F.collect_list(F.struct("at", "id1", "id2", "places")).alias("rows"))
-    per_doc = per_doc.select(F.col("doc_id").alias("a_id"), F.col("key").alias("a_key"), "rows")
-    d = documents.select("doc_id", text_key(F.col("text")).alias("key"), "text")
-    d = d.join(per_doc, d["doc_id"].eqNullSafe(per_doc["a_id"]) & (d["key"] == per_doc["a_key"])).select("rows", F.split("text", "\n").alias("ls"))
-    d = d.select(F.explode("rows").alias("r"), "ls").select("r.*", F.trim(F.element_at("ls", F.col("r.at.n") + 1)).alias("norm"))
-    texts = materialize(d.dropDuplicates(["id1", "id2"]), "survivors")
-
-    fields = [T.StructField("v", T.LongType()), T.StructField("role", T.IntegerType()), *texts.select("at", "id1", "id2").schema.fields]
-    rows = materialize(texts.mapInArrow(_variants, T.StructType(fields)), "variants")
-    me = F.struct("at", "id1", "id2")
-    least = rows.groupBy("v").agg(
-        F.count(F.lit(1)).alias("c"), *[F.min(F.when(F.col("role") == k, me)).alias(f"m{k}") for k in (SUBSTITUTED, SHORTER, LONGER)]
-    ).where("c > 1")
-    met = rows.join(least, "v")
+def _near(documents: DataFrame, min_chars: int) -> DataFrame:
+    """id1, id2 of distinct lines within one edit of an earlier one."""
+    lines = _lines(documents, min_chars)
+    halves = _sharing(lines.select("id1", _segment_keys(F.col("norm"), COARSE).alias("p")), "halves")
+    alive = lines.select("at", "norm", "id1", "id2", F.explode(_segment_keys(F.col("norm"), COARSE)["k"]).alias("k"))
+    alive = alive.join(_sized(halves), "k", "left_semi").groupBy("id1", "id2").agg(F.min("at").alias("at"), F.first("norm").alias("norm"))
+    alive = materialize(alive, "alive")
+
+    keyed = alive.select("at", "norm", "id1", "id2", F.explode(_segment_keys(F.col("norm"), FINE)).alias("p"))
+    rest = _sharing(alive.select("id1", _segment_keys(F.col("norm"), FINE).alias("p")), "segments").withColumnRenamed("k", "k_")
+    keyed = keyed.join(_sized(rest), F.col("p.k") == F.col("k_"), "left_semi").groupBy("id1", "id2").agg(F.collect_list("p").alias("places"))
+    keyed = alive.join(keyed, ["id1", "id2"]).select("norm", "id1", "places")
+    rows = materialize(keyed.mapInArrow(_variants, "v long, role int, id1 long"), "variants")
+
+    # Variants that meet are few; only theirs get their lines' places again.
+    met = materialize(rows.groupBy("v").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("v"), "met")
+    rows = rows.join(_sized(met), "v", "left_semi").join(alive, "id1").select("v", "role", "at", "id1", "id2", "norm")
+    rows = materialize(rows, "meeting")
+    me = F.struct("at", "id1", "id2", "norm")
+    least = rows.groupBy("v").agg(*[F.min(F.when(F.col("role") == k, me)).alias(f"m{k}") for k in (SUBSTITUTED, SHORTER, LONGER)])
     partner = F.when(F.col("role") == SUBSTITUTED, F.col("m0")).when(F.col("role") == SHORTER, F.col("m2")).otherwise(F.col("m1"))
-    met = met.select("at", "id1", "id2", partner.alias("q")).where(F.col("q.at") < F.col("at"))
-    met = met.select("id1", "id2", F.col("q.id1").alias("q1"), F.col("q.id2").alias("q2")).distinct()
-    a = texts.select("id1", "id2", F.col("norm").alias("a"))
-    b = texts.select(F.col("id1").alias("q1"), F.col("id2").alias("q2"), F.col("norm").alias("b"))
-    ok = met.join(a, ["id1", "id2"]).join(b, ["q1", "q2"]).where(F.levenshtein("a", "b", 1) == 1)
-    return materialize(ok.select("id1", "id2").distinct(), "near")
+    pairs = rows.join(least, "v").select("at", "id1", "id2", "norm", partner.alias("q")).where(F.col("q.at") < F.col("at"))
+    return materialize(pairs.where(F.levenshtein("norm", F.col("q.norm"), 1) == 1).select("id1", "id2").distinct(), "near")
 
 
 def dropped_lines(documents: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """doc_id, key (digest of the text) and drops (0-based line numbers, distinct) of each document that loses lines.
+    """doc_id, key (digest of the text) and drops (line numbers from 0, distinct) of each document that loses lines.
 
     Order of lines: doc_id (null first), text digest, line number. A line goes if an earlier line equals it or is within
     one edit of it, whether or not that one goes too. Rows that repeat doc_id and text are one document.
     """
-    lines = _lines(documents, min_chars).select("doc_id", "key", "n", *_ids(F.col("norm")), _segment_keys(F.col("norm")).alias("ks"))
-    lines = materialize(lines, "lines")
-    at = F.struct("doc_id", "key", "n")
-    firsts = materialize(lines.groupBy("id1", "id2").agg(F.min(at).alias("first")), "firsts")
-    placed = lines.select("id1", "id2", at.alias("at"), "ks").join(firsts, ["id1", "id2"])
-    near = _near(placed.where("at = first").dropDuplicates(["id1", "id2"]).select("at", "id1", "id2", "ks"), documents)
-    fate = firsts.join(near.withColumn("near", F.lit(True)), ["id1", "id2"], "left")
-    fate = materialize(fate.select("id1", "id2", "first", F.coalesce("near", F.lit(False)).alias("near")), "fates")
-    gone = lines.select("id1", "id2", at.alias("at")).join(fate, ["id1", "id2"]).where("near or at <> first")
+    lines = materialize(_lines(documents, min_chars).select("at", "id1", "id2"), "lines")
+    firsts = lines.groupBy("id1", "id2").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("c"))
+    repeated = firsts.where("c > 1").select("id1", "id2", "first", F.lit(False).alias("near"))
+    near = _near(documents, min_chars).select("id1", "id2", F.lit(None).cast(repeated.schema["first"].dataType).alias("first"), F.lit(True).alias("near"))
+    fate = repeated.unionByName(near).groupBy("id1", "id2").agg(F.max("first").alias("first"), F.max("near").alias("near"))
+    fate = materialize(fate, "fates")
+    gone = lines.join(_sized(fate), ["id1", "id2"]).where("near or at <> first")
     return gone.groupBy("at.doc_id", "at.key").agg(F.collect_set("at.n").alias("drops"))
 
 
