@@ -25,6 +25,16 @@ KEPT = 800_000
 _RUN = re.compile("[\\s\u180e] (?![^\\s\u180e])")
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that a byte-level BPE's vocabulary has for each byte: itself if printable, else one from 256 on, in order."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+_LETTERS = _byte_letters()
+
+
 class Chunks(dict):
     """Ids, as little-endian bytes, of text chunks that a byte-level BPE never merges across: from a blank on, or the text's first."""
 
@@ -33,8 +43,13 @@ class Chunks(dict):
 
         self.tokenizer = Tokenizer.from_file(tokenizer)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.model = self.tokenizer.model
 
     def __missing__(self, chunk: str) -> bytes:
+        if (chunk[1:] if chunk[:1] == " " else chunk).isalpha():  # one pre-token: straight to the merges
+            word = chunk.encode("utf-8", "surrogatepass").decode("latin-1").translate(_LETTERS)
+            self[chunk] = ids = np.array([t.id for t in self.model.tokenize(word)], "<u4").tobytes()
+            return ids
         head, line, tail = chunk.partition("\n")
         if line and head and tail and not head[-1].isspace() and not tail[0].isspace():
             return self[head] + self[line] + self[tail]
@@ -163,7 +178,8 @@ def pack(documents: DataFrame, tokenizer: str, length: int = LENGTH, end: int =
     counts = materialize(counts.withColumn("before", F.coalesce(before, F.lit(0).cast("long"))), "counts")
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # `length` rows at most
     table = slots(pack_histogram(histogram, length))
-    ranked = pieces.join(counts.drop("n"), ["length", "pid"]).withColumn("rank", F.col("rank") + F.col("before"))
+    ranked = pieces.join(counts.drop("n").hint("merge"), ["length", "pid"])  # it grows with the tasks: not to be broadcast
+    ranked = ranked.withColumn("rank", F.col("rank") + F.col("before"))
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * with_ids]
     ranked = ranked.select(*names, "rank")
     schema = T.StructType([ranked.schema[c] for c in names] + [T.StructField("sequence_id", long), T.StructField("offset", long)])

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontam, langid, licences, linededup, media, packing, simhash, substring, urltrust, warc
+from .oracle import ORACLE_SQL as ORACLE_SQL
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,7 +20,8 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.round_trip(_t(spark, sf_dir, "pages"))
+    out = warc.round_trip(_t(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +56,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urltrust.judge(_t(spark, sf_dir, "pages"))
+    return urltrust.judge(_t(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -69,5 +71,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_dedup": op9_line_dedup,
     "op10_url_trust": op10_url_trust,
 }
-
-ORACLE_SQL: dict[str, str] = {}
