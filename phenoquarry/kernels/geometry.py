@@ -89,16 +89,44 @@ def _edges(rings: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return a, b
 
 
+def _corners(ring: np.ndarray) -> np.ndarray | None:
+    """x1, y1, x2, y2 if the ring is an upright box."""
+    if len(ring) != 4:
+        return None
+    lo, hi = ring.min(0), ring.max(0)
+    on = (ring == lo) | (ring == hi)
+    turns = (ring != np.roll(ring, -1, 0)).sum(1)
+    return np.append(lo, hi) if on.all() and (turns == 1).all() else None
+
+
+def _held(boxes: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which cells between neighbouring x and y are in any box."""
+    out = np.zeros((len(y) - 1, len(x) - 1), bool)
+    for x1, y1, x2, y2 in boxes:
+        out[(y[:-1] >= y1) & (y[1:] <= y2)] |= (x[:-1] >= x1) & (x[1:] <= x2)
+    return out
+
+
+def _area_of_boxes(a: list[np.ndarray], b: list[np.ndarray], mode: str) -> float:
+    every = np.array(a + b)
+    x, y = np.unique(every[:, [0, 2]]), np.unique(every[:, [1, 3]])
+    one, two = _held(a, x, y), _held(b, x, y)
+    return float(np.diff(y) @ (one & two if mode == "and" else one | two) @ np.diff(x))
+
+
 def area_of(rings_a: list[np.ndarray], rings_b: list[np.ndarray] | None = None, mode: str = "and") -> float:
     """Area where a point is in any ring of A and any ring of B (`and`), or in any ring of either (`or`), by slabs.
 
-    Between neighbouring heights of vertices and crossings every edge is straight and none cross, so the width halfway up
+    Upright boxes are counted on the grid of their own edges. Else, between neighbouring heights of vertices and crossings every edge is straight and none cross, so the width halfway up
     a slab is exact for its trapezia.
     """
     groups = [rings_a, rings_b if rings_b is not None else rings_a]
     groups = [[r for r in g if len(r) >= 3] for g in groups]
     if mode == "and" and not (groups[0] and groups[1]) or not (groups[0] or groups[1]):
         return 0.0
+    corners = [[_corners(r) for r in g] for g in groups]
+    if all(c is not None for g in corners for c in g):
+        return _area_of_boxes(*corners, mode)
     rings = groups[0] + (groups[1] if rings_b is not None else [])
     a, b = _edges(rings)
     ys = [a[:, 1]]
