@@ -1 +1,9 @@
-"""See the package README for the operator map."""
+"""Registered queries: relational and matched (native, with DuckDB texts), grouped (grouped maps and kernels)."""
+
+from . import grouped, matched, relational
+
+QUERIES = relational.QUERIES | grouped.QUERIES  # matched registers into relational's
+ORACLE_SQL = relational.ORACLE_SQL | grouped.ORACLE_SQL
+FLAGSHIP = relational.QUERIES["flagship_pair_summary"]
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "matched"]

@@ -5,12 +5,11 @@ import os
 import duckdb
 import pytest
 
-from phenoquarry.plans import grouped, relational
+from phenoquarry import plans
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "part orders lineitem events".split()
-QUERIES = relational.QUERIES | grouped.QUERIES
-SQL = relational.ORACLE_SQL | grouped.ORACLE_SQL
+QUERIES, SQL = plans.QUERIES, plans.ORACLE_SQL
 
 
 def _plain(v):
