@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 
@@ -134,7 +134,11 @@ class Resolved:
     internal_turn: float
     stop: str | None = None
     clipped: bool = False
-    extra: dict = field(default_factory=dict)
+
+    @property
+    def partial(self) -> bool:
+        """Whether it claims just a part of the support."""
+        return self.clipped or self.stop == "foreign_spikelet_body"
 
     @property
     def suffix(self) -> np.ndarray:

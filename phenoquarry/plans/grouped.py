@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import fixtures
 from ..functions.boxes import Box, distance
 from ..functions.polyline import point
-from ..operators import clusters, growth, measures, pairs, roots, seeds, shapes, spatial
+from ..operators import clusters, growth, measures, pairs, roots, seeds, shapes, spatial, trajectories
 from ..policy import STUDIO
 
 MM = 0.085  # mm for a pixel in the derived scenes: a grid of 5 mm spans 58.8 pixels
@@ -144,6 +144,14 @@ def _inspection(det):
     return out.select("spikelet_id", "confidence", "seed_id", F.round("branch_score", 6).alias("branch_score"), "growth_hops", F.coalesce("n_alternatives", F.lit(0).cast("long")).alias("n_alternatives"), F.round("best_alternative", 6).alias("best_alternative"))
 
 
+@_query("J17_foreign_body_stops")
+def _bodies(det):
+    ring = F.transform(_ring(), lambda p: F.struct((p["x"] * MM).alias("x"), (p["y"] * MM).alias("y")))
+    bodies = det.where("class_id = 1").select("page_id", F.col("det_id").alias("spikelet_id"), ring.alias("ring"))
+    d = growth.grow(supports_of(det), seeds_of(det), bodies=bodies).where("place = 1")
+    return d.groupBy("page_id", "stop").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("length_mm_internal"), 6).alias("length_mm"))
+
+
 @_query("A32_root_normalization")
 def _roots(det):
     d = _grown(det).where("place = 1").select("page_id", "spikelet_id", "raw_path")
@@ -161,3 +169,23 @@ def _calibration(det):
     c = F.col
     qc = measures.grid_qc(c("x_period"), c("y_period"), c("x_strip_range"), c("y_strip_range"), c("x_peaks"), c("y_peaks"))
     return out.select("page_id", F.round("x_period", 3).alias("x_period"), F.round("y_period", 3).alias("y_period"), F.array_join(qc, ",").alias("qc_reasons"))
+
+
+@_query(
+    "P9_P16_P29_path_features",
+    "select det_id as id, round(sqrt(power(y2 - y1, 2) + power(det_id % 5 - 2, 2)), 4) as length, 2 as n_simplified, round((x1 + x2)/2 + (det_id % 5 - 2)/2, 4) as midpoint_x, round((y1 + y2)/2, 4) as midpoint_y, 0.0e0 as max_turn_deg from fx_detections where class_id = 0",
+)
+def _path_features(det):
+    out = trajectories.path_features(supports_of(det).select(F.col("support_id").alias("id"), F.col("raw").alias("path")))
+    return out.select("id", F.round("length", 4).alias("length"), "n_simplified", F.round("midpoint_x", 4).alias("midpoint_x"), F.round("midpoint_y", 4).alias("midpoint_y"), F.round("max_turn_deg", 3).alias("max_turn_deg"))
+
+
+@_query("P42_P43_J15_resolved_supports")
+def _resolved(det):
+    from ..functions.boxes import distance as gap
+
+    near = spatial.box_self_join(supports_of(det).select("page_id", "support_id", "path", "x1", "y1", "x2", "y2"), 2.8 / MM, ["page_id"], "support_id")
+    a, b = (Box(*(F.col(f"{s}.{c}") for c in ("x1", "y1", "x2", "y2"))) for s in "lr")
+    d = near.where(gap(a, b) > 0).select((F.col("l.support_id") * 1000000 + F.col("r.support_id")).alias("id"), F.col("l.path").alias("current"), F.col("r.path").alias("support"))
+    out = trajectories.resolve_pairs(d)
+    return out.select("id", "entry", "reversed", *[F.round(c, 6).alias(c) for c in ("distance", "angle", "extension", "internal_turn", "join_local_turn_deg", "join_excess_turn_deg", "multiscale_angle_deg")])

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from phenoquarry.functions import polyline
-from phenoquarry.kernels import geometry, raster
+from phenoquarry.kernels import crossing, geometry, raster
 from phenoquarry.kernels import trajectory as tr
 from phenoquarry.operators import clusters, growth, pairs, roots, shapes, spatial
 from phenoquarry.policy import STUDIO
@@ -118,6 +118,27 @@ def test_sharp_junction_is_clipped():
     assert tr.clip_at_junction(current, [], r) is r
 
 
+def _arms(degrees):
+    return [[np.array([np.cos(np.radians(d)), np.sin(np.radians(d))])] * 3 for d in degrees]
+
+
+@pytest.mark.parametrize(("degrees", "paired"), [((-65, -115, 65, 115), True), ((-87, -93, 87, 93), True), ((-89.5, -90.5, 89.5, 90.5), False)])
+def test_crossing_arms(degrees, paired):
+    got, reason = crossing.pair_arms(_arms(degrees))
+    assert got == ({0: 3, 3: 0, 1: 2, 2: 1} if paired else {}) and reason == ("paired" if paired else "ambiguous_arm_pairing")
+    assert crossing.pair_arms(_arms(degrees)[:3])[1] == "not_four_substantial_arms"
+
+
+@pytest.mark.parametrize(("x", "stops"), [(0.0, True), (8.0, False)])
+def test_foreign_body_stops_growth(x, stops):
+    pool = [_support(1, [(0, -i / 2) for i in range(9)]), _support(2, [(0, -4.2 - i / 2) for i in range(15)])]
+    seeds = pd.DataFrame([{"spikelet_id": 9, "support_id": 1, "seed_score": 1.0, "length_mm": 4.0}])
+    bodies = {9: BOX(-1, -2, 1, 2), 5: BOX(x - 0.3, -9, x + 0.3, -8)}
+    (row,) = growth.grow_page(pool, seeds, growth.CORE, bodies)
+    assert row[6] == ("foreign_spikelet_body" if stops else None)
+    assert (min(p["y"] for p in row[9]) > -8) == stops
+
+
 def test_claims():
     whole, part = ((0, 9), False), ((0, 4), True)
     assert growth.claims_meet(whole, ((20, 30), False)) and not growth.claims_meet(part, ((4, 9), False)) and growth.claims_meet(part, ((3, 9), False))
