@@ -268,31 +268,3 @@ def test_line_dedup(rows, documents):
         want.append((i, None if t is None else "\n".join(keep), len((t or "").split("\n")) if t is not None else 0))
     got = linededup.dedup_lines(documents)
     same_rows([(r.doc_id, r.text, r.n_lines) for r in got.collect()], want)
-
-
-def test_licences(rows, documents):
-    # The notices that the sample tables hold.
-    lines = {"Licensed under the Apache License, Version 2.0.": "apache", "Released under the MIT License.": "mit", "This work is licensed under the GNU General Public License, version 3.": "gpl", "Licensed under CC BY-NC 4.0.": "cc-by-nc"}
-    got = licences.scan_documents(documents).collect()
-    assert len(got) == len(rows)
-    by = defaultdict(list)
-    for i, t, _ in rows:
-        by[i].append(t)
-    for r in got:
-        if r.doc_id is not None and r.doc_id < 9000:
-            text = (by[r.doc_id][0] or "").split("\n")
-            assert r.families == ",".join(sorted({v for k, v in lines.items() if k in text}))
-    assert {r.doc_id: r.families for r in got}[9008] == "apache,mit"
-
-
-def test_licence_model_leaves_lookalikes_alone():
-    classes, weights, biases = licences.train(["some words that say nothing of note"] * 20)
-
-    def best(text):
-        f = licences._features(licences._words(text))
-        z = biases + sum((weights[x] for x in f if x in weights), np.zeros(len(classes))) / np.sqrt(len(f))
-        return classes[int(np.argmax(z))]
-
-    assert best("Licensed under the Apache License, Version 2.0") == "apache"
-    assert best("Permission is hereby granted, free of charge, to any person obtaining a copy") == "mit"
-    assert best("the weather was fine and nobody complained about it") == "unknown"
