@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+#: Paths of the tables that materialize() wrote, by the identity of the DataFrame that reads them.
+_written: dict[int, tuple[DataFrame, str]] = {}
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder that the driver and all executors share (spark.checkpoint.dir).
 
@@ -20,7 +24,9 @@ def shared_root(spark: SparkSession) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
-        return root.rstrip("/")
+        # A path without a scheme means what Spark takes it for, not the disk of whoever opens it.
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     root = tempfile.mkdtemp(prefix="phenoquarry-")
@@ -38,7 +44,18 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends there, so lost executors cost no recomputation."""
     path = workdir(df.sparkSession, tag)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _written[id(out)] = (out, path)
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of materialize() that nothing reads any more; other DataFrames are passed over."""
+    for df in tables:
+        _, path = _written.pop(id(df), (None, None))
+        if path:
+            target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def small_enough(df: DataFrame, max_rows: int) -> bool:

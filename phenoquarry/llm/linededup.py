@@ -1,168 +1,415 @@
 """Line dedup: exact copies by digest, near copies by a deletion-neighbourhood join, and the earliest line stays.
 
-Lines are compared without surrounding blanks, character by character. Two lines within one edit agree outside one of
-a few segments, so only lines that share all else with another line emit their deletion variants, and only of that
-segment. A variant is keyed so that a group needs no pairs: lines that lose the same place are one substitution apart,
-and a line that loses a character meets the one line it becomes. The least line of each group is the partner to verify.
+Lines are compared word by word, so white space doesn't count. Lines without a letter or digit stay. Of lines of any
+other length exact copies go; near copies are lines within `edits` words of each other (changed, added or lost), of at
+least WORDS_PER_EDIT words for each edit.
+
+Near copies meet by deletion variants: what is left of a line when up to `edits` of its words are deleted, hashed. A
+variant's key holds the places of the deletions where equal variants alone would not prove the bound, so a group needs
+no pairs: its least line is every other one's partner, whose word edit distance is then verified. An exact filter comes
+first and keeps the variants few: of edits + 1 segments of a line one is untouched, so only lines that share a segment
+with another line emit variants, and only by deletions outside it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations, product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import materialize, small_enough, text_key
+from .common import discard, materialize, small_enough, text_key
 
-#: Shorter lines (blanks, braces, bullets) are never duplicates.
-MIN_CHARS = 16
-#: Segments of the first test (a half of each line is equal) and of the second, whose rest is all that variants vary.
-COARSE, FINE = 2, 8
-#: Rows up to which keys or repeated lines are broadcast; beyond it they are joined by a shuffle.
-BROADCAST_ROWS = 300_000
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-SUBSTITUTED, SHORTER, LONGER = 0, 1, 2
+#: Words that may differ, and words that a line needs for each of them.
+EDITS, WORDS_PER_EDIT = 1, 8
+#: Rows up to which keys or repeated lines are broadcast (24 bytes each at most); beyond it they are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+#: Text bytes that are parsed at once (a longer line is parsed whole), and keys of a bucket in which shared ones are sought.
+PIECE, BUCKET = 4 << 20, 2_000_000
+SAME, SHORTER, LONGER = 0, 1, 2
+_U = np.uint64
+_BASE = 0x9E3779B97F4A7C15
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+_SAYS = np.zeros(256, bool)
+_SAYS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
-def _segment_keys(norm: Column, segments: int) -> Column:
-    """For the line as the shorter (or equal) of two and as the longer, for each segment: k (hash of all outside it), less, j."""
-    keys = []
-    for less in (0, 1):
-        c = F.length(norm) - less
-        for j in range(segments):
-            lo, hi = F.floor(c * j / F.lit(segments)).cast("int"), F.floor(c * (j + 1) / F.lit(segments)).cast("int")
-            outside = F.xxhash64(c, F.lit(j), F.substring(norm, F.lit(1), lo), F.substring(norm, F.length(norm) - (c - hi) + 1, c - hi))
-            keys.append(F.struct(outside.alias("k"), F.lit(less).alias("less"), F.lit(j).alias("j")))
-    return F.array(*keys)
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
+    return x ^ (x >> _U(31))
 
 
-def _lines(documents: DataFrame, min_chars: int) -> DataFrame:
-    """at (doc_id, key: digest of the text, n: line number from 0), norm (the line without blanks around), id1 and id2 (its 128-bit digest)."""
-    d = documents.select("doc_id", text_key(F.col("text")).alias("key"), F.split(F.coalesce("text", F.lit("")), "\n").alias("ls"))
-    d = d.select("doc_id", "key", F.posexplode_outer("ls").alias("n", "line"))
-    d = d.select(F.struct("doc_id", "key", "n").alias("at"), F.trim("line").alias("norm")).where(F.length("norm") >= min_chars)
-    return d.select("at", "norm", F.xxhash64("norm").alias("id1"), F.xxhash64(F.lit(7), "norm").alias("id2"))
+_BYTES = _mix((np.arange(256, dtype=np.uint64) + _U(1)) * _U(_BASE))
 
 
-def _sized(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if small_enough(df, BROADCAST_ROWS) else df
+class _Sums:
+    """Prefix sums of a polynomial (modulo 2**64) over values: any run's hash in constant time."""
+
+    _powers = _inverse = np.ones(1, np.uint64)
+
+    def __init__(self, values: np.ndarray) -> None:
+        n = len(values)
+        if len(_Sums._powers) < n + 1:
+            for name, base in (("_powers", _BASE), ("_inverse", pow(_BASE, -1, 1 << 64))):
+                full = np.full(n + 1, base, np.uint64)
+                full[0] = 1
+                setattr(_Sums, name, np.cumprod(full, dtype=np.uint64))
+        self.sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(values * _Sums._powers[:n], dtype=np.uint64, out=self.sums[1:])
+
+    def of(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        return (self.sums[hi] - self.sums[lo]) * _Sums._inverse[lo]
+
+
+class Lines:
+    """The lines that say anything of pieces of text: doc, n, first (word), m (words), id1, id2; and all words' hashes."""
+
+    def __init__(self, pieces: list[tuple[int, int, bytes]]) -> None:
+        """pieces: document, number of its first line, text that ends with its last line."""
+        with np.errstate(over="ignore"):
+            self.data = b"\n".join([*(p[2] for p in pieces), b""])
+            b = np.frombuffer(self.data, np.uint8)
+            word = np.append(True, _BLANK[b])
+            edge = np.flatnonzero(word[1:] != word[:-1])
+            self.start, self.end = edge[::2], edge[1::2]
+            self.words = _mix(_Sums(_BYTES[b]).of(self.start, self.end))
+            stop = np.flatnonzero(b == 10)
+            begin = np.append(0, stop[:-1] + 1) if len(stop) else stop
+            first, last = np.searchsorted(self.start, begin), np.searchsorted(self.start, stop)
+            says = np.append(0, np.cumsum(_SAYS[b]))
+            sizes = np.array([len(p[2]) + 1 for p in pieces])
+            piece = np.searchsorted(np.cumsum(sizes), stop, "right")
+            kept = says[stop] > says[begin]
+            starts = np.searchsorted(begin, np.cumsum(sizes) - sizes)
+            n = np.arange(len(stop)) - starts[piece] + np.array([p[1] for p in pieces])[piece]
+            self.doc, self.n = np.array([p[0] for p in pieces])[piece][kept], n[kept].astype(np.int32)
+            self.first, self.m = first[kept], (last - first)[kept]
+            self.sums = _Sums(self.words)
+            self.id1 = _mix(self.sums.of(self.first, self.first + self.m) + self.m.astype(np.uint64) * _U(_BASE))
+            self.id2 = _mix(_Sums(_mix(self.words + _U(1))).of(self.first, self.first + self.m) ^ self.m.astype(np.uint64))
+
+    def text(self, i: int) -> str:
+        """The line's words, single blanks between them."""
+        a, e = self.first[i], self.first[i] + self.m[i]
+        return " ".join(self.data[s:t].decode("utf-8", "surrogatepass") for s, t in zip(self.start[a:e], self.end[a:e]))
+
+
+def _parsed(b: pa.RecordBatch) -> Iterator[Lines]:
+    pieces, held = [], 0
+    for i, text in enumerate(b.column("text").to_pylist()):
+        data, n = (text or "").encode("utf-8", "surrogatepass"), 0
+        while True:
+            cut = data.find(b"\n", PIECE) if len(data) > PIECE else -1
+            part, data = (data[:cut], data[cut + 1 :]) if cut >= 0 else (data, None)
+            pieces.append((i, n, part))
+            held += len(part) + 1
+            if held >= PIECE:
+                yield Lines(pieces)
+                pieces, held = [], 0
+            if data is None:
+                break
+            n += part.count(b"\n") + 1
+    if pieces:
+        yield Lines(pieces)
+
+
+def _probes(edits: int) -> list[tuple[int, tuple[tuple[int, int, int], ...]]]:
+    """(longer, runs): how much longer a line is than the one whose segments are sought, and its untouched runs of segments
+    (from, to, shift). Of edits + 1 segments `edits` are touched, and shifts can't change by more than that in all."""
+    out = set()
+    for touched in combinations(range(edits + 1), edits):
+        ends = [-1, *touched, edits + 1]
+        for longer in range(edits + 1):
+            for mid in product(range(-edits, edits + 1), repeat=edits - 1):
+                shifts = [0, *mid, longer]
+                if sum(abs(y - x) for x, y in zip(shifts, shifts[1:])) <= edits:
+                    out.add((longer, tuple((a + 1, e, s) for a, e, s in zip(ends, ends[1:], shifts) if e > a + 1)))
+    return sorted(out)
+
+
+def _levels(edits: int) -> list[tuple[int, int]]:
+    """(edits, most words of the shorter line; 0: any) of the classes of pairs, by the shorter line's words."""
+    return [(d, (d + 1) * WORDS_PER_EDIT - 1 if d < edits else 0) for d in range(1, edits + 1)]
+
+
+def _segment_keys(x: Lines, edits: int) -> Iterator[tuple[int, int, int, tuple, np.ndarray, np.ndarray]]:
+    """(edits, how much longer, side, runs, lines, keys): a key for equal untouched segments, from either side of a pair.
+
+    The shorter (or one of equally long) has its own segments as they are; the other side has them where shifts put them.
+    """
+    for d, most in _levels(edits):
+        emitted = set()
+        for longer, runs in _probes(d):
+            plain = tuple((lo, hi, 0) for lo, hi, _ in runs)
+            for side in (SHORTER, LONGER) if longer else (SAME,):
+                own = x.m - longer if side == LONGER else x.m  # words of the line whose segments these are
+                place = plain if side == SHORTER else runs
+                at = np.flatnonzero((own >= d * WORDS_PER_EDIT) & (own <= (most or np.inf)))
+                if (longer, side, place) in emitted or not len(at):
+                    continue
+                emitted.add((longer, side, place))
+                m, f = own[at], x.first[at]
+                key = m.astype(np.uint64) * _U(_BASE) + _U((d * 64 + longer) * 4096)
+                for lo, hi, s in place:
+                    key = _mix(key ^ _U(lo * 64 + hi)) + x.sums.of(f + m * lo // (d + 1) + s, f + m * hi // (d + 1) + s)
+                yield d, longer, side, place, at, _mix(key)
+
+
+LINE = "n int, id1 long, id2 long"
+
+
+def _liner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for x in _parsed(b):
+            doc = pa.array(x.doc, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(doc), b.column("key").take(doc), pa.array(x.n), pa.array(x.id1.view(np.int64)), pa.array(x.id2.view(np.int64))], ["doc_id", "key", "n", "id1", "id2"])
+
 
+def _keyer(edits: int, buckets: int):
+    def packed(k: np.ndarray, i: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((i, k))
+        k, i = k[order], i[order]
+        new = np.append(True, k[1:] != k[:-1])
+        last = np.append(new[1:], True)
+        kept = new | (last & (i != i[np.flatnonzero(new)[np.cumsum(new) - 1]]))  # of a key two lines at most
+        k, i = k[kept], i[kept]
+        of = (k % _U(buckets)).astype(np.int32)
+        order = np.argsort(of, kind="stable")
+        k, i, of = k[order], i[order], of[order]
+        edge = np.append(0, np.flatnonzero(np.diff(of)) + 1) if len(of) else np.zeros(0, np.int64)
+        ends = np.append(edge[1:], len(of))
+        cols = [[x[a:e].tobytes() for a, e in zip(edge, ends)] for x in (k, i)]
+        return pa.RecordBatch.from_arrays([pa.array(of[edge]), *(pa.array(c, pa.binary()) for c in cols)], ["bucket", "ks", "ids"])
 
-def _sharing(keyed: DataFrame, tag: str) -> DataFrame:
-    """Of rows (id1, p: segment keys), those keys k that different lines have."""
-    shared = keyed.select("id1", F.explode("p.k").alias("k")).groupBy("k").agg(F.min("id1").alias("x"), F.max("id1").alias("y"))
-    return materialize(shared.where("x <> y").select("k"), tag)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ks, ids, held = [], [], 0
+        with np.errstate(over="ignore"):
+            for b in batches:
+                for x in _parsed(b):
+                    for *_, at, key in _segment_keys(x, edits):
+                        ks.append(key)
+                        ids.append(x.id1[at])
+                        held += len(at)
+                    if held > 500_000:
+                        yield packed(np.concatenate(ks), np.concatenate(ids))
+                        ks, ids, held = [], [], 0
+            if held:
+                yield packed(np.concatenate(ks), np.concatenate(ids))
 
+    return run
 
-def _deletions(r: np.ndarray) -> tuple[np.uint64, np.ndarray]:
-    """Hash of a character sequence, and of it without each of its characters, in linear time."""
-    x = (r.astype(np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(29)
-    power = np.full(len(r), _BASE)
-    if len(r):
-        power[0] = 1
-    before = np.append(np.uint64(0), np.cumsum(x * np.cumprod(power, dtype=np.uint64), dtype=np.uint64))
-    return before[-1], before[:-1] + (before[-1] - before[1:]) * _INVERSE
 
+def _sharing(t: pa.Table) -> pa.Table:
+    """Of the keys of a bucket those of different lines."""
+    k, i = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint64) for c in ("ks", "ids"))
+    order = np.lexsort((i, k))
+    k, i = k[order], i[order]
+    both = (k[1:] == k[:-1]) & (i[1:] != i[:-1])
+    return pa.table({"k": pa.array(np.unique(k[1:][both]).view(np.int64))})
 
-def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    out_v, out_role, out_row, held = [], [], [], 0
 
-    def flush(b: pa.RecordBatch):
-        rows = pa.array(np.concatenate(out_row))
-        cols = [pa.array(np.concatenate(out_v).view(np.int64)), pa.array(np.concatenate(out_role))]
-        out_v.clear(), out_role.clear(), out_row.clear()
-        return pa.RecordBatch.from_arrays([*cols, b.column("id1").take(rows)], ["v", "role", "id1"])
+def _shared_keys(documents: DataFrame, edits: int, n_lines: int) -> DataFrame:
+    buckets = max(32, n_lines * 4 * edits * edits // BUCKET)
+    keys = documents.mapInArrow(_keyer(edits, buckets), "bucket int, ks binary, ids binary")
+    return materialize(keys.groupBy("bucket").applyInArrow(_sharing, "k long"), "segments")
 
-    def add(row: int, role: int, v: np.ndarray):
-        out_v.append(v)
-        out_role.append(np.full(len(v), role, np.int32))
-        out_row.append(np.full(len(v), row, np.int64))
-        return len(v)
 
-    with np.errstate(over="ignore"):
+#: Lines with shared segments: n, ids, the words, and for each shared segment its key, side, how much longer, and runs.
+ALIVE = "n int, id1 long, id2 long, line string, meets array<struct<k:long,d:int,longer:int,side:int,runs:array<int>>>"
+_MEETS = pa.list_(pa.struct([("k", pa.int64()), ("d", pa.int32()), ("longer", pa.int32()), ("side", pa.int32()), ("runs", pa.list_(pa.int32()))]))
+
+
+def _reviver(edits: int, shared):
+    """Lines with a shared segment; all lines of enough words if the shared keys are too many to be brought here (None)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = None if shared is None else shared.value
+        with np.errstate(over="ignore"):
+            for b in batches:
+                for x in _parsed(b):
+                    meets: dict[int, list] = {}
+                    for d, longer, side, runs, at, key in _segment_keys(x, edits):
+                        k = key.view(np.int64)
+                        hit = np.arange(len(k))
+                        if known is not None:
+                            hit = np.flatnonzero(known[np.minimum(np.searchsorted(known, k), len(known) - 1)] == k) if len(known) else hit[:0]
+                        flat = [v for r in runs for v in r]
+                        for line, one in zip(at[hit].tolist(), k[hit].tolist()):
+                            meets.setdefault(line, []).append({"k": one, "d": d, "longer": longer, "side": side, "runs": flat})
+                    if meets:
+                        at = np.array(sorted(meets))
+                        doc = pa.array(x.doc[at], pa.int64())
+                        cols = [pa.array(x.n[at]), pa.array(x.id1[at].view(np.int64)), pa.array(x.id2[at].view(np.int64)), pa.array([x.text(i) for i in at]), pa.array([meets[i] for i in at.tolist()], _MEETS)]
+                        yield pa.RecordBatch.from_arrays([b.column("doc_id").take(doc), b.column("key").take(doc), *cols], ["doc_id", "key", "n", "id1", "id2", "line", "meets"])
+
+    return run
+
+
+def _touched(m: int, d: int, longer: int, side: int, runs: list[int]) -> list[tuple[int, int]] | None:
+    """The parts of a line of m words between its untouched runs; None if they'd overlap."""
+    own, at, out = m - longer if side == LONGER else m, 0, []
+    for lo, hi, s in zip(runs[::3], runs[1::3], runs[2::3]):
+        out.append((at, own * lo // (d + 1) + s))
+        at = own * hi // (d + 1) + s
+    out.append((at, m))
+    return None if any(a > e for a, e in out) else out
+
+
+#: By edits and how much longer one line is: (side, words deleted, gaps that the key names).
+_NAMED = {
+    (1, 0): [(SAME, 1, 1)],
+    (1, 1): [(SHORTER, 0, 0), (LONGER, 1, 0)],
+    (2, 0): [(SAME, 1, 0), (SAME, 2, 2)],  # a word moved; two words changed
+    (2, 1): [(SHORTER, 0, 0), (LONGER, 1, 0), (SHORTER, 1, 1), (LONGER, 2, 1)],  # a word added; one added and one changed
+    (2, 2): [(SHORTER, 0, 0), (LONGER, 2, 0)],
+}
+
+
+def variants(words: list[bytes], k: int, d: int, longer: int, side: int, runs: list[int]) -> Iterator[tuple[int, int]]:
+    """(key, side) of the deletion variants of a line (hashes of its words) outside its untouched runs."""
+    parts = _touched(len(words), d, longer, side, runs)
+    if parts is None:
+        return
+    items = [w for a, e in parts for w in [*words[a:e], b""]]  # parts end with a mark that stays
+    free = [i for i, w in enumerate(items) if w]
+    head = k.to_bytes(8, "little", signed=True)
+    for own, r, named in _NAMED[(d, longer)]:
+        if own != side:
+            continue
+        # A gap is the place among what is left at which a word was deleted.
+        for gone in combinations(free, r):
+            left = b"|".join(w for i, w in enumerate(items) if i not in gone)
+            gaps = [i - j for j, i in enumerate(gone)]
+            for g in ([tuple(gaps)] if named == r else {(x,) for x in gaps}) if named else [()]:
+                yield xxhash.xxh3_64_intdigest(head + bytes([longer, named, max(0, r - longer) if side == LONGER else r]) + repr(g).encode() + left), side
+
+
+def _varier(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rows: set[tuple[int, int, int]] = set()
+        out = lambda: pa.RecordBatch.from_arrays([pa.array(np.array(c, t).view(s)) for c, t, s in zip(zip(*rows), (np.uint64, np.int32, np.int64), (np.int64, np.int32, np.int64))], ["v", "side", "id1"])
+        for line, id1, meets in zip(*(b.column(c).to_pylist() for c in ("line", "id1", "meets"))):
+            words = [xxhash.xxh3_64_digest(w.encode("utf-8", "surrogatepass")) for w in line.split(" ")]
+            for m in meets:
+                rows.update((v, s, id1) for v, s in variants(words, **m))
+            if len(rows) > 100_000:
+                yield out()
+                rows.clear()
+        if rows:
+            yield out()
+
+
+def word_distance(a: list[str], b: list[str], bound: int) -> int:
+    """Levenshtein distance of two word sequences, bound + 1 if it is larger than the bound."""
+    while a and b and a[0] == b[0]:
+        a, b = a[1:], b[1:]
+    while a and b and a[-1] == b[-1]:
+        a, b = a[:-1], b[:-1]
+    if abs(len(a) - len(b)) > bound:
+        return bound + 1
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        was, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            was, row[j] = row[j], min(was + (x != y), row[j] + 1, row[j - 1] + 1)
+        if min(row) > bound:
+            return bound + 1
+    return min(row[-1], bound + 1)
+
+
+def near(a: str, b: str, edits: int = EDITS) -> bool:
+    """Are two lines (words with single blanks between them) within the bound for their words?"""
+    x, y = a.split(" "), b.split(" ")
+    allowed = min(edits, min(len(x), len(y)) // WORDS_PER_EDIT)
+    return allowed > 0 and word_distance(x, y, allowed) <= allowed
+
+
+def _verifier(edits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            held = 0
-            for row, (norm, places) in enumerate(zip(b.column("norm").to_pylist(), b.column("places").to_pylist())):
-                x = np.frombuffer(norm.encode("utf-32-le", "surrogatepass"), np.uint32)
-                for p in places:
-                    c = len(x) - p["less"]
-                    lo, hi = c * p["j"] // FINE, c * (p["j"] + 1) // FINE
-                    whole, less = _deletions(x[lo : len(x) - (c - hi)])
-                    k = np.uint64(p["k"] & (1 << 64) - 1)
-                    full = (np.append(whole, less) ^ k) * _BASE
-                    if p["less"]:
-                        held += add(row, LONGER, full[1:])
-                    else:
-                        held += add(row, SHORTER, full[:1])
-                        place = np.arange(1, len(less) + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)
-                        held += add(row, SUBSTITUTED, (less ^ k ^ place) * _INVERSE)
-                if held > 200_000:
-                    yield flush(b)
-                    held = 0
-            if out_v:
-                yield flush(b)
-
-
-def _near(documents: DataFrame, min_chars: int) -> DataFrame:
-    """id1, id2 of distinct lines within one edit of an earlier one."""
-    lines = _lines(documents, min_chars)
-    halves = _sharing(lines.select("id1", _segment_keys(F.col("norm"), COARSE).alias("p")), "halves")
-    alive = lines.select("at", "norm", "id1", "id2", F.explode(_segment_keys(F.col("norm"), COARSE)["k"]).alias("k"))
-    alive = alive.join(_sized(halves), "k", "left_semi").groupBy("id1", "id2").agg(F.min("at").alias("at"), F.first("norm").alias("norm"))
-    alive = materialize(alive, "alive")
-
-    keyed = alive.select("at", "norm", "id1", "id2", F.explode(_segment_keys(F.col("norm"), FINE)).alias("p"))
-    rest = _sharing(alive.select("id1", _segment_keys(F.col("norm"), FINE).alias("p")), "segments").withColumnRenamed("k", "k_")
-    keyed = keyed.join(_sized(rest), F.col("p.k") == F.col("k_"), "left_semi").groupBy("id1", "id2").agg(F.collect_list("p").alias("places"))
-    keyed = alive.join(keyed, ["id1", "id2"]).select("norm", "id1", "places")
-    rows = materialize(keyed.mapInArrow(_variants, "v long, role int, id1 long"), "variants")
+            good = [near(x, y, edits) for x, y in zip(b.column("line").to_pylist(), b.column("other").to_pylist())]
+            yield b.select(["id1", "id2"]).filter(pa.array(good, pa.bool_()))
+
+    return run
+
+
+def _sized(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if small_enough(df, BROADCAST_ROWS) else df
+
+
+def _near(documents: DataFrame, edits: int, n_lines: int) -> DataFrame:
+    """id1, id2 of distinct lines near an earlier one."""
+    spark, head = documents.sparkSession, documents.schema["doc_id"]
+    rest = lambda ddl: T.StructType([head, T.StructField("key", T.StringType()), *T.StructType.fromDDL(ddl)])
+    shared = _shared_keys(documents, edits, n_lines)
+    if small_enough(shared, BROADCAST_ROWS):
+        known = spark.sparkContext.broadcast(np.sort(np.array([r.k for r in shared.collect()], np.int64)))
+        alive = documents.mapInArrow(_reviver(edits, known), rest(ALIVE))
+    else:
+        every = documents.mapInArrow(_reviver(edits, None), rest(ALIVE)).select("doc_id", "key", "n", "id1", "id2", "line", F.explode("meets").alias("m"))
+        every = every.join(shared, every["m.k"] == shared["k"], "left_semi")
+        alive = every.groupBy("doc_id", "key", "n", "id1", "id2").agg(F.first("line").alias("line"), F.collect_list("m").alias("meets"))
+    alive = alive.select(F.struct("doc_id", "key", "n").alias("at"), "id1", "id2", F.struct("line", "meets").alias("x"))
+    alive = materialize(alive.groupBy("id1", "id2").agg(F.min("at").alias("at"), F.first("x").alias("x")).select("at", "id1", "id2", "x.line", "x.meets"), "alive")
+    rows = materialize(alive.select("line", "id1", "meets").mapInArrow(_varier, "v long, side int, id1 long"), "variants")
 
     # Variants that meet are few; only theirs get their lines' places again.
-    met = materialize(rows.groupBy("v").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("v"), "met")
-    rows = rows.join(_sized(met), "v", "left_semi").join(alive, "id1").select("v", "role", "at", "id1", "id2", "norm")
-    rows = materialize(rows, "meeting")
-    me = F.struct("at", "id1", "id2", "norm")
-    least = rows.groupBy("v").agg(*[F.min(F.when(F.col("role") == k, me)).alias(f"m{k}") for k in (SUBSTITUTED, SHORTER, LONGER)])
-    partner = F.when(F.col("role") == SUBSTITUTED, F.col("m0")).when(F.col("role") == SHORTER, F.col("m2")).otherwise(F.col("m1"))
-    pairs = rows.join(least, "v").select("at", "id1", "id2", "norm", partner.alias("q")).where(F.col("q.at") < F.col("at"))
-    return materialize(pairs.where(F.levenshtein("norm", F.col("q.norm"), 1) == 1).select("id1", "id2").distinct(), "near")
+    met = materialize(rows.groupBy("v").agg(F.min("id1").alias("x"), F.max("id1").alias("y")).where("x <> y").select("v"), "met")
+    rows = rows.join(_sized(met), "v", "left_semi").join(alive.select("at", "id1", "id2", "line"), "id1")
+    rows = materialize(rows.select("v", "side", F.struct("at", "id1", "id2", "line").alias("me")), "meeting")
+    least = rows.groupBy("v").agg(*[F.min(F.when(F.col("side") == s, F.col("me"))).alias(f"m{s}") for s in (SAME, SHORTER, LONGER)])
+    partner = F.when(F.col("side") == SAME, F.col("m0")).when(F.col("side") == SHORTER, F.col("m2")).otherwise(F.col("m1"))
+    pairs = rows.join(least, "v").select("me.*", partner.alias("q")).where(F.col("q.at") < F.col("at"))
+    pairs = pairs.groupBy("id1", "id2", F.col("q.id1").alias("o1"), F.col("q.id2").alias("o2")).agg(F.first("line").alias("line"), F.first("q.line").alias("other"))
+    out = materialize(pairs.select("id1", "id2", "line", "other").mapInArrow(_verifier(edits), "id1 long, id2 long").distinct(), "near")
+    discard(shared, alive, met, rows)
+    return out
 
 
-def dropped_lines(documents: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def dropped_lines(documents: DataFrame, edits: int = EDITS) -> DataFrame:
     """doc_id, key (digest of the text) and drops (line numbers from 0, distinct) of each document that loses lines.
 
-    Order of lines: doc_id (null first), text digest, line number. A line goes if an earlier line equals it or is within
-    one edit of it, whether or not that one goes too. Rows that repeat doc_id and text are one document.
+    Order of lines: doc_id (null first), text digest, line number. A line goes if an earlier line equals it or is near
+    it, whether or not that one goes too. Rows that repeat doc_id and text are one document.
     """
-    lines = materialize(_lines(documents, min_chars).select("at", "id1", "id2"), "lines")
+    if edits not in (0, 1, 2):
+        raise ValueError("edits must be 0, 1 or 2")
+    d = documents.select("doc_id", text_key(F.col("text")).alias("key"), "text")
+    lines = d.mapInArrow(_liner, T.StructType([d.schema["doc_id"], d.schema["key"], *T.StructType.fromDDL(LINE)]))
+    lines = materialize(lines.select(F.struct("doc_id", "key", "n").alias("at"), "id1", "id2"), "lines")
     firsts = lines.groupBy("id1", "id2").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("c"))
-    repeated = firsts.where("c > 1").select("id1", "id2", "first", F.lit(False).alias("near"))
-    near = _near(documents, min_chars).select("id1", "id2", F.lit(None).cast(repeated.schema["first"].dataType).alias("first"), F.lit(True).alias("near"))
-    fate = repeated.unionByName(near).groupBy("id1", "id2").agg(F.max("first").alias("first"), F.max("near").alias("near"))
+    fate = firsts.where("c > 1").select("id1", "id2", "first", F.lit(False).alias("near"))
+    if edits:
+        close = _near(d, edits, lines.count())
+        fate = fate.unionByName(close.select("id1", "id2", F.lit(None).cast(fate.schema["first"].dataType).alias("first"), F.lit(True).alias("near")))
+        fate = fate.groupBy("id1", "id2").agg(F.max("first").alias("first"), F.max("near").alias("near"))
     fate = materialize(fate, "fates")
     gone = lines.join(_sized(fate), ["id1", "id2"]).where("near or at <> first")
-    return gone.groupBy("at.doc_id", "at.key").agg(F.collect_set("at.n").alias("drops"))
+    out = materialize(gone.groupBy("at.doc_id", "at.key").agg(F.collect_set("at.n").alias("drops")), "dropped")
+    discard(lines, fate)
+    return out
 
 
-def dedup_lines(documents: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(documents: DataFrame, edits: int = EDITS) -> DataFrame:
     """The documents with their text cut to the lines that stay, and n_lines and n_dropped (longs) after their own columns.
 
-    A null text stays null, without lines; a text whose lines all go becomes empty. Lines under min_chars characters
-    (without surrounding blanks) stay. Columns named n_lines or n_dropped are replaced.
+    A null text stays null, without lines; a text whose lines all go becomes empty. Lines without a letter (any byte
+    outside ASCII counts as one) or digit stay. Columns named n_lines or n_dropped are replaced; other names can't clash.
     """
-    gone = materialize(dropped_lines(documents, min_chars), "dropped")
-    gone = gone.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("drops").alias("__drops"))
-    own = text_key(documents["text"])
-    d = documents.join(gone, documents["doc_id"].eqNullSafe(gone["__id"]) & (own == gone["__key"]), "left")
-    ls = F.split("text", "\n")
-    kept = F.array_join(F.filter(ls, lambda _, i: ~F.array_contains("__drops", i)), "\n")
+    gone = dropped_lines(documents, edits).select(F.col("doc_id").alias("i"), F.col("key").alias("k"), "drops")
+    d = documents.select(F.struct(*documents.columns).alias("row"), F.col("doc_id").alias("own"), text_key(F.col("text")).alias("digest"))
+    d = d.join(gone, d["own"].eqNullSafe(gone["i"]) & (d["digest"] == gone["k"]), "left")
+    text, ls = F.col("row.text"), F.split("row.text", "\n")
+    kept = F.when(F.col("drops").isNull(), text).otherwise(F.array_join(F.filter(ls, lambda _, i: ~F.array_contains("drops", i)), "\n"))
     return d.select(
-        *[F.when(F.col("__drops").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else d[c] for c in documents.columns if c not in ("n_lines", "n_dropped")],
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(ls)).cast("long").alias("n_lines"),
-        F.when(F.col("__drops").isNull(), 0).otherwise(F.size("__drops")).cast("long").alias("n_dropped"),
+        *[kept.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in documents.columns if c not in ("n_lines", "n_dropped")],
+        F.when(text.isNull(), 0).otherwise(F.size(ls)).cast("long").alias("n_lines"),
+        F.when(F.col("drops").isNull(), 0).otherwise(F.size("drops")).cast("long").alias("n_dropped"),
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .linededup import MIN_CHARS
+from .linededup import WORDS_PER_EDIT
 from .urltrust import DAMPING, ROUNDS, RULES, SHARE
 
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -31,12 +31,14 @@ select page_id, payload_bytes, {_BASE32} as payload_digest, case when page_id =
 """
 
 OP9 = f"""
-with l as (select doc_id, n, line, trim(line, ' ') as x from (select doc_id, generate_subscripts(ls, 1) as n, unnest(ls) as line from (select doc_id, string_split(text, chr(10)) as ls from documents) y) z),
-f as (select x, min((doc_id, n)) as place from l where length(x) >= {MIN_CHARS} group by x),
-k as (select x, place, length(x) as m, left(x, (length(x) - less)//2) as h, right(x, (length(x) - less) - (length(x) - less)//2) as t, length(x) - less as c from f, (values (0), (1)) v(less)),
-pairs as (select a.x, b.x as y from k a join k b on a.c = b.c and a.h = b.h and b.place < a.place and a.x <> b.x union select a.x, b.x from k a join k b on a.c = b.c and a.t = b.t and b.place < a.place and a.x <> b.x),
-near as (select distinct x from pairs where abs(length(x) - length(y)) <= 1 and levenshtein(x, y) = 1),
-kept as (select l.doc_id, l.n, l.line, length(l.x) < {MIN_CHARS} or ((l.doc_id, l.n) = f.place and near.x is null) as stays from l left join f on l.x = f.x left join near on l.x = near.x)
+with l as (select doc_id, n, line, list_filter(regexp_split_to_array(line, '[ \\t\\r\\x0B\\x0C]+'), lambda x: x <> '') as w, regexp_matches(line, '[0-9A-Za-z]|[^\\x00-\\x7F]') as says
+      from (select doc_id, generate_subscripts(ls, 1) as n, unnest(ls) as line from (select doc_id, string_split(text, chr(10)) as ls from documents) y) z),
+f as (select w, min((doc_id, n)) as place from l where says group by w),
+k as (select w, place, w[1:(len(w) - less)//2] as h, w[len(w) + 1 - (len(w) - less) + (len(w) - less)//2:] as t, len(w) - less as c from f, (values (0), (1)) v(less) where len(w) - less >= {WORDS_PER_EDIT}),
+pairs as (select a.w, b.w as y from k a join k b on a.c = b.c and a.h = b.h and b.place < a.place and a.w <> b.w union select a.w, b.w from k a join k b on a.c = b.c and a.t = b.t and b.place < a.place and a.w <> b.w),
+sided as (select w, case when len(w) >= len(y) then w else y end as p, case when len(w) >= len(y) then y else w end as q from pairs where abs(len(w) - len(y)) <= 1),
+near as (select distinct w from sided where len(list_filter(range(0, len(p)), lambda i: p[1:i] = q[1:i] and p[i + 2:] = q[i + 2 - (len(p) - len(q)):])) > 0),
+kept as (select l.doc_id, l.n, l.line, not l.says or ((l.doc_id, l.n) = f.place and near.w is null) as stays from l left join f on l.says and l.w = f.w left join near on l.says and l.w = near.w)
 select doc_id, coalesce(string_agg(case when stays then line end, chr(10) order by n), '') as text, count(*) as n_lines, count(*) filter (where not stays) as n_dropped from kept group by doc_id
 union all select doc_id, null, 0, 0 from documents where text is null
 """

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from tokenizers import Tokenizer
 
-from phenoquarry.llm import components, decontam, langid, licences, linededup, packing, simhash, substring
+from phenoquarry.llm import components, decontam, langid, packing, simhash, substring
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -55,8 +55,6 @@ def test_empty_tables(documents, benchmark):
     assert langid.identify(none).count() == 0
     assert substring.remove_repeats(none).count() == 0
     assert packing.pack(none, public_tokenizers.path("byte_bpe_50k.json")).count() == 0
-    assert linededup.dedup_lines(none).count() == 0
-    assert licences.scan_documents(none).count() == 0
 
 
 def plain_fingerprint(t):
@@ -241,30 +239,3 @@ def test_patterns_hold_all_pieces():
             placed[size] += n
     assert placed == counts
     assert sum(counts[k] * k for k in counts) / (2048 * sum(n for n, _ in patterns)) > 0.95
-
-
-def one_edit(a, b):
-    if abs(len(a) - len(b)) > 1:
-        return False
-    i = 0
-    while i < min(len(a), len(b)) and a[i] == b[i]:
-        i += 1
-    return a[i + (len(a) >= len(b)) :] == b[i + (len(b) >= len(a)) :]
-
-
-def test_line_dedup(rows, documents):
-    place = lambda i, t: (i is not None, i or 0, hashlib.md5((t or "").encode()).hexdigest())
-    first = {}
-    for i, t, _ in sorted(rows, key=lambda r: place(r[0], r[1])):
-        for n, line in enumerate((t or "").split("\n")):
-            x = line.strip(" ")
-            if len(x) >= 16:
-                first.setdefault(x, (*place(i, t), n))
-    near = {x for x in first for y in first if first[y] < first[x] and one_edit(x, y)}
-    assert near
-    want = []
-    for i, t, _ in rows:
-        keep = [s for n, s in enumerate((t or "").split("\n")) if len(x := s.strip(" ")) < 16 or (x not in near and first[x] == (*place(i, t), n))]
-        want.append((i, None if t is None else "\n".join(keep), len((t or "").split("\n")) if t is not None else 0))
-    got = linededup.dedup_lines(documents)
-    same_rows([(r.doc_id, r.text, r.n_lines) for r in got.collect()], want)
