@@ -272,38 +272,63 @@ _NAMED = {
 }
 
 
-def variants(words: list[bytes], k: int, d: int, longer: int, side: int, runs: list[int]) -> Iterator[tuple[int, int]]:
-    """(key, side) of the deletion variants of a line (hashes of its words) outside its untouched runs."""
+def variants(words: np.ndarray, k: int, d: int, longer: int, side: int, runs: list[int]) -> Iterator[np.ndarray]:
+    """Keys of the deletion variants of a line (hashes of its words) outside its untouched runs, for its side."""
     parts = _touched(len(words), d, longer, side, runs)
     if parts is None:
         return
-    items = [w for a, e in parts for w in [*words[a:e], b""]]  # parts end with a mark that stays
-    free = [i for i, w in enumerate(items) if w]
-    head = k.to_bytes(8, "little", signed=True)
+    items = np.concatenate([x for a, e in parts for x in (words[a:e], _MARK)])  # parts end with a mark that stays
+    free = np.ones(len(items), bool)
+    free[np.cumsum([e - a + 1 for a, e in parts]) - 1] = False
+    at = np.flatnonzero(free)
+    s = _Sums(items).sums
+    back = _Sums._inverse[:3] if len(items) > 1 else np.ones(3, np.uint64)
     for own, r, named in _NAMED[(d, longer)]:
         if own != side:
             continue
-        # A gap is the place among what is left at which a word was deleted.
-        for gone in combinations(free, r):
-            left = b"|".join(w for i, w in enumerate(items) if i not in gone)
-            gaps = [i - j for j, i in enumerate(gone)]
-            for g in ([tuple(gaps)] if named == r else {(x,) for x in gaps}) if named else [()]:
-                yield xxhash.xxh3_64_intdigest(head + bytes([longer, named, max(0, r - longer) if side == LONGER else r]) + repr(g).encode() + left), side
+        # What is left without the deleted words, as if it stood together; a gap is the place in it at which one was deleted.
+        if r == 0:
+            left, gaps = s[-1:], []
+        elif r == 1:
+            left, gaps = s[at] + (s[-1] - s[at + 1]) * back[1], [at]
+        else:
+            i, j = (at[x] for x in np.triu_indices(len(at), 1))
+            left, gaps = s[i] + (s[j] - s[i + 1]) * back[1] + (s[-1] - s[j + 1]) * back[2], [i, j - 1]
+        kept = r - longer if side == LONGER else r
+        left = _mix(left + _mix(np.array([k], np.int64).view(np.uint64) + _U((longer * 4 + named) * 4 + kept)))
+        if named == r:
+            yield _mix(left + sum(((g + 1).astype(np.uint64) * _U(_BASE + 2 * n) for n, g in enumerate(gaps)), _U(0)))
+        else:
+            for g in gaps if named else [None]:
+                yield _mix(left + (_U(0) if g is None else (g + 1).astype(np.uint64) * _U(_BASE)))
+
+
+_MARK = np.array([0x5851F42D4C957F2D], np.uint64)
 
 
 def _varier(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        rows: set[tuple[int, int, int]] = set()
-        out = lambda: pa.RecordBatch.from_arrays([pa.array(np.array(c, t).view(s)) for c, t, s in zip(zip(*rows), (np.uint64, np.int32, np.int64), (np.int64, np.int32, np.int64))], ["v", "side", "id1"])
-        for line, id1, meets in zip(*(b.column(c).to_pylist() for c in ("line", "id1", "meets"))):
-            words = [xxhash.xxh3_64_digest(w.encode("utf-8", "surrogatepass")) for w in line.split(" ")]
-            for m in meets:
-                rows.update((v, s, id1) for v, s in variants(words, **m))
-            if len(rows) > 100_000:
-                yield out()
-                rows.clear()
-        if rows:
-            yield out()
+    def out(keys: list, sides: list, ids: list) -> pa.RecordBatch:
+        n = [len(x) for x in keys]
+        cols = [np.concatenate(keys).view(np.int64), np.repeat(np.array(sides, np.int32), n), np.repeat(np.array(ids, np.int64), n)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["v", "side", "id1"])
+
+    with np.errstate(over="ignore"):
+        _Sums(np.zeros(1 << 12, np.uint64))  # powers are made once
+        for b in batches:
+            keys, sides, ids, held = [], [], [], 0
+            for line, id1, meets in zip(*(b.column(c).to_pylist() for c in ("line", "id1", "meets"))):
+                words = np.array([xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in line.split(" ")], np.uint64)
+                for m in meets:
+                    for v in variants(words, **m):
+                        keys.append(v)
+                        sides.append(m["side"])
+                        ids.append(id1)
+                        held += len(v)
+                if held > 200_000:
+                    yield out(keys, sides, ids)
+                    keys, sides, ids, held = [], [], [], 0
+            if keys:
+                yield out(keys, sides, ids)
 
 
 def word_distance(a: list[str], b: list[str], bound: int) -> int:
