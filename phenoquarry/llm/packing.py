@@ -38,12 +38,14 @@ _LETTERS = _byte_letters()
 class Chunks(dict):
     """Ids, as little-endian bytes, of text chunks that a byte-level BPE never merges across: from a blank on, or the text's first."""
 
-    def __init__(self, tokenizer: str) -> None:
+    def __init__(self, tokenizer: str, special_as_text: bool = False) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = special_as_text
         self.model = self.tokenizer.model
+        #: Strings that the tokenizer takes out of a text before anything else: a text with one goes whole.
+        self.special = [] if special_as_text else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def __missing__(self, chunk: str) -> bytes:
         if (chunk[1:] if chunk[:1] == " " else chunk).isalpha():  # one pre-token: straight to the merges
@@ -64,7 +66,7 @@ class Chunks(dict):
     def of(self, text: str) -> bytes:
         if len(self) > KEPT:
             self.clear()
-        if _RUN.search(text):
+        if _RUN.search(text) or any(x in text for x in self.special):
             return self.tokens(text)
         words = text.split(" ")
         return b"".join(map(self.__getitem__, [words[0], *[" " + w for w in words[1:]]]))
@@ -74,15 +76,15 @@ class Chunks(dict):
 
 
 @lru_cache(1)
-def _chunks(tokenizer: str) -> Chunks:
-    return Chunks(tokenizer)
+def _chunks(tokenizer: str, special_as_text: bool) -> Chunks:
+    return Chunks(tokenizer, special_as_text)
 
 
-def _cutter(tokenizer: str, length: int, end: int, with_ids: bool):
+def _cutter(tokenizer: str, length: int, end: int, with_ids: bool, special_as_text: bool):
     last = np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks, pid, seen = _chunks(tokenizer), TaskContext.get().partitionId(), Counter()
+        chunks, pid, seen = _chunks(tokenizer, special_as_text), TaskContext.get().partitionId(), Counter()
         for b in batches:
             row, start, size, crc, total, rank, ids = [], [], [], [], [], [], []
             for k, text in enumerate(b.column("text").to_pylist()):
@@ -161,17 +163,18 @@ def _placer(table: np.ndarray):
     return run
 
 
-def pack(documents: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END, with_ids: bool = False) -> DataFrame:
+def pack(documents: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END, with_ids: bool = False, special_as_text: bool = False) -> DataFrame:
     """Pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids (array) if with_ids is set.
 
     Every row is a document of its own (repeated rows too): its ids and the end id, cut into pieces of `length` and a
-    rest. A null text is empty and so one end id. An empty table gives an empty result.
+    rest. A null text is empty and so one end id. An empty table gives an empty result. Special tokens' strings in a text
+    become their ids, as the tokenizer has it, or ordinary text if special_as_text is set.
     """
     d = documents.select("doc_id", "text")
     long = T.LongType()
     fields = [d.schema["doc_id"], *[T.StructField(c, long) for c in ("start", "length", "ids_crc32", "doc_tokens")], T.StructField("pid", T.IntegerType()), T.StructField("rank", long)]
     fields += [T.StructField("ids", T.ArrayType(T.IntegerType()))] * with_ids
-    pieces = materialize(d.mapInArrow(_cutter(tokenizer, length, end, with_ids), T.StructType(fields)), "pieces")
+    pieces = materialize(d.mapInArrow(_cutter(tokenizer, length, end, with_ids, special_as_text), T.StructType(fields)), "pieces")
     # Ranks within a task become ranks over all: each task's count for each length, summed over the tasks before it.
     counts = pieces.groupBy("length", "pid").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1))

@@ -191,17 +191,22 @@ def test_suffix_sort():
     assert keys == sorted(keys)
 
 
-def test_packing(rows, documents):
+@pytest.mark.parametrize("special_as_text", [False, True])
+def test_packing(rows, documents, spark, special_as_text):
+    """Every piece of every document against the untouched tokenizer: start, length, checksum and whole document."""
     path = public_tokenizers.path("byte_bpe_50k.json")
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
+    if special_as_text:
+        tok.encode_special_tokens = True
+    own = [*((i, t) for i, t, _ in rows), (9100, "a<|endoftext|>b"), (9101, "<|endoftext|>" * 2100), (9102, "tail <|endoftext|>"), (9103, "<|endoftext" + "|> x")]
+    extra = spark.createDataFrame(own[-4:], "doc_id long, text string")
     want = Counter()
-    for i, t, _ in rows:
+    for i, t in own:
         ids = [*tok.encode(t or "", add_special_tokens=False).ids, 1]
-        want[(i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))] += 1
-    got = packing.pack(documents, path, with_ids=True).collect()
-    for r in got:
-        assert r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes()) and r.length == len(r.ids)
+        want.update((i, s, len(ids[s : s + 2048]), zlib.crc32(np.array(ids[s : s + 2048], "<u4").tobytes()), len(ids)) for s in range(0, len(ids), 2048))
+    got = packing.pack(documents.select("doc_id", "text").union(extra), path, with_ids=True, special_as_text=special_as_text).collect()
+    assert Counter((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in got) == want
+    assert all(r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes()) and r.length == len(r.ids) for r in got)
     sequences = defaultdict(list)
     for r in got:
         sequences[r.sequence_id].append((r.offset, r.length))
@@ -211,17 +216,17 @@ def test_packing(rows, documents):
             assert o == end
             end += n
         assert end <= 2048
-    assert sum(r.length for r in got) == sum(n * c for (_, n, _), c in want.items())
-    short = Counter((r.doc_id, r.doc_tokens, r.ids_crc32) for r in got if r.doc_tokens <= 2048)
-    assert short == Counter({k: c for k, c in want.items() if k[1] <= 2048})
+    assert sorted(sequences) == list(range(len(sequences)))
 
 
-def test_chunked_ids_equal_plain_ids():
+@pytest.mark.parametrize("special_as_text", [False, True])
+def test_chunked_ids_equal_plain_ids(special_as_text):
     path = public_tokenizers.path("byte_bpe_50k.json")
-    tok, chunks = Tokenizer.from_file(path), packing.Chunks(path)
-    tok.encode_special_tokens = True
+    tok, chunks = Tokenizer.from_file(path), packing.Chunks(path, special_as_text)
+    if special_as_text:
+        tok.encode_special_tokens = True
     rng = np.random.default_rng(2)
-    bits = ["a", "B", " ", "  ", "\n", "\t", "'s", "é", "9", "!", "日", "\r\n", "the", "\xa0", " ", "<|endoftext|>", "", "."]
+    bits = ["a", "B", " ", "  ", "\n", "\t", "'s", "é", "9", "!", "日", "\r\n", "the", "\xa0", "\u3000", "<|endoftext|>", "\u200b", "."]
     for _ in range(4000):
         t = "".join(rng.choice(bits, rng.integers(0, 14)))
         assert np.frombuffer(chunks.of(t), "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
