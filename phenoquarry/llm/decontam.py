@@ -1,9 +1,10 @@
 """Benchmark decontamination: prefix-filtered set join over item-sized word windows.
 
-Only DataFrame functions run on this path. The corpus is tokenised once into word shingles; the few occurrences that
-match any benchmark shingle are kept with their surrounding words. Shingles are then ordered by rarity in the corpus,
-each window keeps its rarest shingle as the necessary prefix token (containment 1 needs a prefix of one), and the prefix
-join's candidates pass length and positional bounds before the words themselves are compared.
+Only DataFrame functions run on this path. A first pass counts how often each benchmark shingle occurs in the corpus;
+that orders shingles by rarity. Containment of a whole window needs a prefix of one: its rarest shingle. The second pass
+joins the corpus's shingles with these prefix tokens alone; a place that meets one is a candidate if the window's length
+and the shingle's position in it fit the document. Only candidates' documents are read again to compare the words.
+What is shuffled beyond the broadcast bounds are keys and places, never words of documents.
 """
 
 from __future__ import annotations
@@ -53,6 +54,17 @@ def _sized(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if small_enough(df, rows) else df
 
 
+def _places(docs: DataFrame, size: int) -> DataFrame:
+    """The other columns of docs, n_words, p (0-based word) and h for every shingle of `size` words of docs (wh: hashes of words)."""
+    rest = [c for c in docs.columns if c != "wh"]
+    # Positions are exploded, not hashes: then the hash is made in generated code, without an array of them.
+    # An outer explode and no filter: either filter would be pushed below and tokenise every text once more.
+    places = F.when(F.size("wh") >= size, F.sequence(F.lit(0), F.size("wh") - size))
+    at = docs.select(*rest, "wh", F.explode_outer(places).alias("p"))
+    h = F.xxhash64(*[F.try_element_at("wh", F.col("p") + k) for k in range(1, size + 1)])  # as _shingle() has it
+    return at.select(*rest, F.size("wh").alias("n_words"), "p", h.alias("h"))
+
+
 def contaminated_windows(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Verified occurrences: doc_id, key (digest of the text), start (1-based word), n (words) and item_ids.
 
@@ -65,42 +77,40 @@ def contaminated_windows(documents: DataFrame, benchmark: DataFrame, window: int
     windows = materialize(windows.select("words", "n", "s", "item_ids", tokens.alias("tokens")), "windows")
     sizes = sorted(r.s for r in windows.select("s").distinct().collect())  # at most SHINGLE values
 
-    docs = documents.select("doc_id", text_key(F.col("text")).alias("key"), words_of(F.col("text")).alias("w"))
-    docs = docs.select("doc_id", "key", "w", _hashes("w").alias("wh"))
+    docs = documents.select("doc_id", text_key(F.col("text")).alias("key"), _hashes(words_of(F.col("text"))).alias("wh"))
     known = windows.select("s", F.explode("tokens.h").alias("h")).distinct()
-    reach = window - 1
-    hits = None
+    rarity = None
     for s in sizes:
-        # Positions are exploded, not hashes: then the hash is made in generated code, without an array of them.
-        # No filter on w and an outer explode: either filter would be pushed below and tokenise every text once more.
-        places = F.when(F.size("w") >= s, F.sequence(F.lit(0), F.size("w") - s))
-        at = docs.select("doc_id", "key", "w", "wh", F.explode_outer(places).alias("p"))
-        h = F.xxhash64(*[F.try_element_at("wh", F.col("p") + k) for k in range(1, s + 1)])  # as _shingle() has it
-        at = at.select("doc_id", "key", "w", "p", h.alias("h"))
         own = materialize(known.where(F.col("s") == s).select("h"), "tokens")
-        at = at.join(_sized(own, broadcast_rows), "h")
-        first = F.greatest(F.col("p") - reach, F.lit(0))  # 0-based start of the words kept around the occurrence
-        around = F.slice("w", first + 1, F.lit(2 * reach + s))
-        at = at.select("doc_id", "key", F.lit(s).alias("s"), "h", "p", F.size("w").alias("n_words"), first.alias("first"), around.alias("around"))
-        hits = at if hits is None else hits.unionByName(at)
-    if hits is None:
+        counted = _places(docs.select("wh"), s).select("h").join(_sized(own, broadcast_rows), "h").groupBy("h").agg(F.count(F.lit(1)).alias("df"))
+        counted = counted.select(F.lit(s).alias("s"), "h", "df")
+        rarity = counted if rarity is None else rarity.unionByName(counted)
+    if rarity is None:
         return documents.sparkSession.createDataFrame([], f"doc_id {dict(documents.dtypes)['doc_id']}, key string, start int, n int, item_ids array<string>")
-    hits = materialize(hits.distinct(), "hits")
-
-    rarity = hits.groupBy("s", "h").agg(F.count(F.lit(1)).alias("df"))
-    ranked = windows.select("words", "n", "s", "item_ids", F.explode("tokens").alias("t"))
-    ranked = ranked.select("words", "n", "s", "item_ids", F.col("t.h").alias("h"), F.col("t.o").alias("o")).join(rarity, ["s", "h"], "left")
-    # A window with a shingle that occurs nowhere has a null count, which orders first: it has no candidate.
-    prefix = ranked.groupBy("words", "n", "s").agg(
-        F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "h", "o")).alias("t"), F.first("item_ids").alias("item_ids")
-    )
-    prefix = prefix.where("t.df > 0").select("words", "n", "s", "item_ids", F.col("t.h").alias("h"), F.col("t.o").alias("o"))
-    prefix = _sized(materialize(prefix, "prefix"), broadcast_rows // 10)
-    start = F.col("p") - F.col("o")
-    cand = hits.join(prefix, ["s", "h"])
-    cand = cand.where((start >= 0) & (start + F.col("n") <= F.col("n_words")))
-    cand = cand.where(F.slice("around", start - F.col("first") + 1, F.col("n")) == F.col("words"))
-    return cand.select("doc_id", "key", (start + 1).alias("start"), "n", "item_ids")
+    rarity = materialize(rarity, "rarity")
+
+    # A window with a shingle that occurs nowhere has no candidate; of equally rare shingles the least hash is the prefix.
+    ranked = windows.select("words", "n", "s", F.size("tokens").alias("all"), F.explode("tokens").alias("t"))
+    ranked = ranked.select("words", "n", "s", "all", F.col("t.h").alias("h"), F.col("t.o").alias("o")).join(rarity, ["s", "h"])
+    prefix = ranked.groupBy("words", "n", "s", "all").agg(F.min(F.struct("df", "h", "o")).alias("t"), F.count(F.lit(1)).alias("found"))
+    prefix = materialize(prefix.where("found = all").select("words", "n", "s", F.col("t.h").alias("h"), F.col("t.o").alias("o")), "prefix")
+    cand = None
+    for s in sizes:
+        at = _places(docs, s).join(_sized(prefix.where(F.col("s") == s), broadcast_rows // 10), "h")
+        start = F.col("p") - F.col("o")
+        at = at.where((start >= 0) & (start + F.col("n") <= F.col("n_words"))).select("doc_id", "key", (start + 1).alias("start"), "n", "words")
+        cand = at if cand is None else cand.unionByName(at)
+    cand = materialize(cand.groupBy("doc_id", "key").agg(F.collect_set(F.struct("start", "n", "words")).alias("places")), "candidates")
+
+    side = cand.select(F.col("doc_id").alias("c_id"), F.col("key").alias("c_key"), "places")
+    side = F.broadcast(side) if small_enough(side, broadcast_rows // 100) else side
+    d = documents.select("doc_id", text_key(F.col("text")).alias("key"), "text")
+    d = d.join(side, d["doc_id"].eqNullSafe(side["c_id"]) & (d["key"] == side["c_key"]))
+    held = lambda w: F.filter("places", lambda c: F.slice(w, c["start"], c["n"]) == c["words"])
+    # transform() over an array of one: the words are split once for a document, not once for a place.
+    good = F.element_at(F.transform(F.array(words_of(F.col("text"))), held), 1)
+    good = d.select("doc_id", "key", F.explode(good).alias("c")).select("doc_id", "key", "c.start", "c.n", "c.words").distinct()
+    return good.join(windows.select("words", "n", "item_ids"), ["words", "n"]).select("doc_id", "key", "start", "n", "item_ids")
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
