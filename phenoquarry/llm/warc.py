@@ -19,6 +19,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from datetime import UTC, datetime, timedelta
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -29,8 +30,8 @@ from .storage import Writer, open_input
 
 ARCHIVE_BYTES, ARCHIVE_RECORDS = 64 << 20, 20_000
 FAN_IN = 128
-#: Entries in a block of a run, and places of a run that help to choose key ranges.
-BLOCK, FENCES = 512, 16
+#: Entries in a block of a run, blocks in a block of its index, and places of a small run that help to choose key ranges.
+BLOCK, INDEX_BLOCK, FENCES = 512, 256, 16
 RANGE_ENTRIES = 200_000
 BATCH_ROWS = 2_000
 BROADCAST_ROWS = 500_000
@@ -48,10 +49,14 @@ def url_key(url: str | None) -> str:
 
 
 class RunWriter:
-    """Sorted entries (lists that begin with URL key, timestamp, page number) in compressed blocks, with a footer of first keys."""
+    """Sorted entries (lists that begin with URL key, timestamp, page number) in compressed blocks, with an index of two levels.
+
+    Index blocks hold the first keys and places of BLOCK entries each and lie between the data; the footer lists the index
+    blocks. Neither writer nor reader ever holds a whole run's index.
+    """
 
     def __init__(self, uri: str) -> None:
-        self.out, self.block, self.fences, self.n = Writer(uri), [], [], 0
+        self.out, self.block, self.fences, self.top, self.n = Writer(uri), [], [], [], 0
 
     def add(self, entry: list) -> None:
         self.block.append(entry)
@@ -59,37 +64,57 @@ class RunWriter:
         if len(self.block) == BLOCK:
             self._flush()
 
+    def _write(self, rows: list) -> list:
+        data = zlib.compress(json.dumps(rows).encode(), 1)
+        at = self.out.size
+        self.out.write(data)
+        return [at, len(data)]
+
     def _flush(self) -> None:
         if self.block:
-            data = zlib.compress(json.dumps(self.block).encode(), 1)
-            self.fences.append([self.block[0][:3], self.out.size, len(data)])
-            self.out.write(data)
+            self.fences.append([self.block[0][:3], *self._write(self.block)])
             self.block = []
+            if len(self.fences) == INDEX_BLOCK:
+                self._flush_index()
+
+    def _flush_index(self) -> None:
+        if self.fences:
+            self.top.append([self.fences[0][0], *self._write(self.fences)])
+            self.last, self.fences = self.fences, []
 
     def close(self) -> tuple[int, list]:
-        """Number of entries, and a few first keys spread over the run."""
+        """Number of entries, and first keys spread over the run: a few of a small one, one of each index block of a large one."""
         self._flush()
-        foot = json.dumps(self.fences).encode()
+        self._flush_index()
+        foot = json.dumps(self.top).encode()
         self.out.write(foot + struct.pack("<Q", len(foot)))
         self.out.close()
-        return self.n, [f[0] for f in self.fences[:: max(1, len(self.fences) // FENCES)]]
+        if len(self.top) > FENCES:
+            return self.n, [x[0] for x in self.top]
+        some = [x[0] for x in self.top] + [x[0] for x in self.last[1 :: max(1, len(self.last) // FENCES)]] if self.top else []
+        return self.n, sorted(some)
 
 
 def read_run(uri: str, low: list | None = None, high: list | None = None) -> Iterator[list]:
     """Entries with low <= key < high, block by block."""
+
+    def within(rows: list) -> Iterator[list]:
+        at = max(0, bisect.bisect_left(rows, low, key=lambda x: x[0]) - 1) if low else 0
+        for first, offset, n in rows[at:]:
+            if high and first >= high:
+                return
+            f.seek(offset)
+            yield json.loads(zlib.decompress(f.read(n)))
+
     with open_input(uri) as f:
         f.seek(f.size() - 8)
         (size,) = struct.unpack("<Q", f.read(8))
         f.seek(f.size() - 8 - size)
-        fences = json.loads(f.read(size))
-        at = max(0, bisect.bisect_left(fences, low, key=lambda x: x[0]) - 1) if low else 0
-        for first, offset, n in fences[at:]:
-            if high and first >= high:
-                return
-            f.seek(offset)
-            for e in json.loads(zlib.decompress(f.read(n))):
-                if (not low or e[:3] >= low) and (not high or e[:3] < high):
-                    yield e
+        for fences in within(json.loads(f.read(size))):
+            for entries in within(fences):
+                for e in entries:
+                    if (not low or e[:3] >= low) and (not high or e[:3] < high):
+                        yield e
 
 
 class LoserTree:
@@ -179,11 +204,13 @@ def _merge_ranges(folder: str, runs: list[str], bounds: list[list]):
 
 def merge_runs(spark: SparkSession, folder: str, runs: DataFrame) -> DataFrame:
     """Capture histories in global order (part, then position within it) from sorted runs in a folder: the columns of MERGED."""
-    rows = [(r.run, r.entries, r.fences) for r in runs.collect()]  # names: one run for each archive
-    while len(rows) > FAN_IN:
-        groups = [([x[0] for x in rows[i : i + FAN_IN]],) for i in range(0, len(rows), FAN_IN)]
-        d = spark.createDataFrame(groups, "runs array<string>").repartition(len(groups))
-        rows = [(r.run, r.entries, r.fences) for r in materialize(d.mapInArrow(_merge_group(folder), RUN), "runs").collect()]
+    n = runs.count()
+    while n > FAN_IN:  # groups of about FAN_IN runs, which only their own tasks know
+        groups = -(-n // FAN_IN)
+        dealt = runs.groupBy(F.pmod(F.xxhash64("run"), F.lit(groups)).alias("g")).agg(F.collect_list("run").alias("runs"))
+        runs = materialize(dealt.repartition(groups, "g").select("runs").mapInArrow(_merge_group(folder), RUN), "runs")
+        n = runs.count()
+    rows = [(r.run, r.entries, r.fences) for r in runs.collect()]  # FAN_IN at most
     total = sum(x[1] for x in rows)
     parts = max(spark.sparkContext.defaultParallelism, -(-total // RANGE_ENTRIES))
     fences = sorted(f for x in rows for f in json.loads(x[2]))
@@ -206,8 +233,13 @@ def _base32(sha1_hex: str) -> str:
     return base64.b32encode(bytes.fromhex(sha1_hex)).decode()
 
 
-def _name(page_id: str | None) -> str:
-    return "" if page_id is None else page_id
+def _urn(page_id: str | None) -> str:
+    """A record's name; any text survives it, and null is no text."""
+    return "<urn:null>" if page_id is None else f"<urn:page:{quote(page_id, safe='', errors='surrogatepass')}>"
+
+
+def _page(urn: str) -> str | None:
+    return None if urn == "<urn:null>" else unquote(urn[10:-1], errors="surrogatepass")
 
 
 def record(page_id: str | None, url: str | None, payload: bytes, sha1_hex: str, refers_to: str | None, revisit: bool) -> bytes:
@@ -215,29 +247,28 @@ def record(page_id: str | None, url: str | None, payload: bytes, sha1_hex: str,
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     body = http if revisit else http + payload
     head = [
-        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:page:{_name(page_id)}>", f"WARC-Date: {_date(page_id)}",
+        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {_urn(page_id)}", f"WARC-Date: {_date(page_id)}",
         "WARC-Target-URI: " + re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or ""), f"WARC-Payload-Digest: sha1:{_base32(sha1_hex)}",
     ]
     if revisit:
-        head += [f"WARC-Refers-To: <urn:page:{_name(refers_to)}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        head += [f"WARC-Refers-To: {_urn(refers_to)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}", "", ""]
-    return gzip.compress("\r\n".join(head).encode() + body + b"\r\n\r\n", 6, mtime=0)
+    return gzip.compress("\r\n".join(head).encode("utf-8", "surrogatepass") + body + b"\r\n\r\n", 6, mtime=0)
 
 
 def parse(member: bytes) -> tuple:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of a record; a response's digest is that of what was read."""
     raw = gzip.decompress(member)
     head, body = raw.split(b"\r\n\r\n", 1)
-    fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
+    fields = dict(x.split(": ", 1) for x in head.decode("utf-8", "surrogatepass").split("\r\n")[1:])
     body = body[: int(fields["Content-Length"])]
     http, payload = body.split(b"\r\n\r\n", 1)
     digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
     size = int(re.search(rb"Content-Length: (\d+)", http)[1])
-    page, kind = fields["WARC-Record-ID"][10:-1], fields["WARC-Type"]
+    page, kind = _page(fields["WARC-Record-ID"]), fields["WARC-Type"]
     if kind == "response" and (_base32(hashlib.sha1(payload).hexdigest()) != digest or len(payload) != size):
         raise ValueError(f"payload of page {page} isn't what was written")
-    refers = fields["WARC-Refers-To"][10:-1] if kind == "revisit" else None
-    return page or None, size, digest, kind, refers or None
+    return page, size, digest, kind, _page(fields["WARC-Refers-To"]) if kind == "revisit" else None
 
 
 def _archiver(folder: str):
