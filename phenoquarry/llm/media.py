@@ -27,7 +27,9 @@ from .storage import Writer, open_input, sizes
 WIDTH = 192
 #: An archive is closed at this many bytes or members (a zip archive without 64-bit fields holds 65,535).
 ARCHIVE_BYTES, ARCHIVE_MEMBERS = 256 << 20, 60_000
-RANGE_BYTES, BATCH_BYTES, RETRIES = 16 << 20, 4 << 20, 3
+RANGE_BYTES, BATCH_BYTES, RETRIES = 64 << 20, 4 << 20, 3
+#: Partitions of a scan about, however large the folder: ranges grow beyond it.
+PARTITIONS = 100_000
 _PNG = b"\x89PNG\r\n\x1a\n"
 _LOCAL, _CENTRAL, _END = "<4s5H3I2H", "<4s6H3I5H2I", "<4s4H2IH"
 
@@ -96,37 +98,38 @@ class _Zip:
         return len(self.central), self.out.size
 
 
-def _members(uri: str) -> list[tuple[int, int, int, str]]:
-    """Offset, size, checksum and name of an archive's members, by offset."""
-    with open_input(uri) as f:
-        f.seek(f.size() - struct.calcsize(_END))
-        _, _, _, _, n, size, start, _ = struct.unpack(_END, f.read())
-        f.seek(start)
-        raw, at, out = f.read(size), 0, []
-        for _ in range(n):
-            x = struct.unpack_from(_CENTRAL, raw, at)
-            at += struct.calcsize(_CENTRAL)
-            out.append((x[16], x[8], x[7], raw[at : at + x[10]].decode()))
-            at += x[10] + x[11] + x[12]
-        return out
+def _members(f) -> Iterator[tuple[int, int, int, str]]:
+    """Offset, size, checksum and name of the members of an open archive, by offset."""
+    f.seek(f.size() - struct.calcsize(_END))
+    _, _, _, _, n, size, start, _ = struct.unpack(_END, f.read())
+    f.seek(start)
+    raw, at = f.read(size), 0
+    for _ in range(n):
+        x = struct.unpack_from(_CENTRAL, raw, at)
+        at += struct.calcsize(_CENTRAL)
+        yield x[16], x[8], x[7], raw[at : at + x[10]].decode()
+        at += x[10] + x[11] + x[12]
 
 
 class MemberError(IOError):
     pass
 
 
+def _read_at(f, offset: int, size: int, crc: int) -> bytes:
+    f.seek(offset)
+    head = struct.unpack(_LOCAL, f.read(struct.calcsize(_LOCAL)))
+    data = f.read(head[9] + head[10] + size)[head[9] + head[10] :]
+    if head[0] != b"PK\3\4" or zlib.crc32(data) != crc:
+        raise MemberError("checksum differs")
+    return data
+
+
 def read_member(uri: str, offset: int, size: int, crc: int, retries: int = RETRIES) -> bytes:
-    """One member's bytes, verified; a failed read is tried again from the member's offset."""
+    """One member's bytes, verified; a failed read is tried again from the member's offset, the archive opened anew."""
     for attempt in range(retries + 1):
         try:
             with open_input(uri) as f:
-                f.seek(offset)
-                head = struct.unpack(_LOCAL, f.read(struct.calcsize(_LOCAL)))
-                f.seek(offset + struct.calcsize(_LOCAL) + head[9] + head[10])
-                data = f.read(size)
-            if head[0] != b"PK\3\4" or zlib.crc32(data) != crc:
-                raise MemberError("checksum differs")
-            return data
+                return _read_at(f, offset, size, crc)
         except (OSError, struct.error) as e:
             if attempt == retries:
                 raise MemberError(f"{uri} at {offset}: {e}") from e
@@ -134,9 +137,11 @@ def read_member(uri: str, offset: int, size: int, crc: int, retries: int = RETRI
     raise AssertionError
 
 
-class Range(InputPartition):
-    def __init__(self, archive: str | None, start: int = 0, end: int = 0) -> None:
-        self.archive, self.start, self.end = archive, start, end
+class Ranges(InputPartition):
+    """Byte ranges (archive, start, end) that one task reads."""
+
+    def __init__(self, pieces: list[tuple[str, int, int]]) -> None:
+        self.pieces = pieces
 
 
 class _RangeReader(DataSourceReader):
@@ -146,34 +151,52 @@ class _RangeReader(DataSourceReader):
         self.retries = int(options.get("retries", RETRIES))
         self.null_on_error = options.get("onerror", "fail") == "null"
 
-    def partitions(self) -> list[Range]:
+    def partitions(self) -> list[Ranges]:
         found = sizes(self.folder, ".zip")
         if sizes(self.folder, "manifest.json"):
             with open_input(f"{self.folder}/manifest.json") as f:
                 listed = set(json.loads(f.read()))
             found = [x for x in found if x[0] in listed]
-        return [Range(name, a, min(a + self.range_bytes, size)) for name, size in found for a in range(0, size, self.range_bytes)] or [Range(None)]
-
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        if partition.archive is None:
-            return
-        uri, rows, held = f"{self.folder}/{partition.archive}", [], 0
-        for offset, size, crc, name in _members(uri):
-            if partition.start <= offset < partition.end:
-                try:
-                    media = read_member(uri, offset, size, crc, self.retries)
-                except MemberError:
-                    if not self.null_on_error:
-                        raise
-                    media = None
-                rows.append((partition.archive, offset, name, media))
-                held += size
-                if held >= BATCH_BYTES:
-                    yield self._batch(rows)
-                    rows, held = [], 0
+        step = max(self.range_bytes, sum(n for _, n in found) // PARTITIONS)
+        out, held = [[]], 0
+        for name, size in found:
+            for a in range(0, size, step):
+                e = min(a + step, size)
+                if held + e - a > step and out[-1]:  # small archives share a task
+                    out.append([])
+                    held = 0
+                out[-1].append((name, a, e))
+                held += e - a
+        return [Ranges(x) for x in out]
+
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+        for archive, start, end in partition.pieces:
+            uri = f"{self.folder}/{archive}"
+            with open_input(uri) as f:
+                for offset, size, crc, name in _members(f):
+                    if not start <= offset < end:
+                        continue
+                    rows.append((archive, offset, name, self._media(f, uri, offset, size, crc)))
+                    held += size
+                    if held >= BATCH_BYTES:
+                        yield self._batch(rows)
+                        rows, held = [], 0
         if rows:
             yield self._batch(rows)
 
+    def _media(self, f, uri: str, offset: int, size: int, crc: int) -> bytes | None:
+        """Members stream through the open archive; one that fails is read again on its own."""
+        try:
+            return _read_at(f, offset, size, crc)
+        except (OSError, struct.error):
+            try:
+                return read_member(uri, offset, size, crc, self.retries)
+            except MemberError:
+                if not self.null_on_error:
+                    raise
+                return None
+
     @staticmethod
     def _batch(rows: list[tuple]) -> pa.RecordBatch:
         kinds = (pa.string(), pa.int64(), pa.string(), pa.binary())
@@ -254,7 +277,7 @@ def media_columns(documents: DataFrame) -> DataFrame:
     """Write the documents' texts as media and describe what is read back: the columns of DESCRIBED.
 
     One row for each input row, repeated rows too. A null text is empty: one row of blanks. A null or empty-string
-    doc_id comes back as null; other types return through their text form.
+    doc_id comes back as null; other types return through their text form, of 65,000 bytes at most (a member's name).
     """
     spark = documents.sparkSession
     folder = workdir(spark, "media")
