@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .linededup import WORDS_PER_EDIT
-from .urltrust import DAMPING, ROUNDS, RULES, SHARE
+from .urltrust import DAMPING, EVIDENCE, RULES
 
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _WORDS = f"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_GAP}'), lambda x: x <> '')"
@@ -55,27 +55,44 @@ def _chosen(what: int) -> str:
     return f"case {' '.join(rows)} end"
 
 
-def _op10() -> str:
+_RULED = [
+    f"u as (select page_id, html, {_REST} as rest from pages)",
+    f"q as (select page_id, html, {_HOST} as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from u)",
+    f"r as (select page_id, html, host, path, {_chosen(1)} as rule, {_chosen(0)} as ruled from q)",
+    "s as (select host, count(*) as pages, sum(case when ruled = 'allow' then 1 else 0 end)::double as a, sum(case when ruled = 'block' then 1 else 0 end)::double as b from r where host <> '' group by host)",
+]
+
+
+def _ranks(rounds: int) -> list[str]:
+    """Tables of personalised PageRank over e (src, dst, n) from seeds s, and f with the verdicts."""
     ctes = [
-        f"u as (select page_id, html, {_REST} as rest from pages)",
-        f"q as (select page_id, html, {_HOST} as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from u)",
-        f"r as (select page_id, html, host, path, {_chosen(1)} as rule, {_chosen(0)} as ruled from q)",
-        """x as (select host as src, unnest(regexp_split_to_array(coalesce(html, ''), '(?i)href\\s*=\\s*["'']?\\s*(?:https?:)?//')[2:]) as x from r)""",
-        f"""y as (select src, {_LOWER.format('''regexp_extract(x, '^([^/?#"''<>\\s]*)', 1)''')} as dst from x)""",
-        "e as (select src, dst, count(*) as n from y where src <> '' and dst <> '' and src <> dst group by src, dst)",
-        "w as (select src, dst, n/sum(n) over (partition by src) as wt, n/sum(n) over (partition by dst) as wd from e)",
-        "s as (select host, sum(case when ruled = 'allow' then 1 else 0 end) as a, sum(case when ruled = 'block' then 1 else 0 end) as b from r where host <> '' group by host)",
-        f"h as (select host, {1 - DAMPING!r}*coalesce(a/greatest(1, (select sum(a) from s)), 0) as st, {1 - DAMPING!r}*coalesce(b/greatest(1, (select sum(b) from s)), 0) as sd from (select host from s union select src from e union select dst from e) z left join s using (host))",
-        "r0 as (select host, st as t, sd as d from h)",
+        "w as materialized (select src, dst, n/sum(n) over (partition by src) as wt, n/sum(n) over (partition by dst) as wd from e)",
+        "h as materialized (select host, coalesce(a, 0) as st, coalesce(b, 0) as sd, host not in (select src from e) as sink, host not in (select dst from e) as source from (select host from s union select src from e union select dst from e) z left join s using (host))",
+        "mass as (select greatest(sum(st), 1e-300) as mt, greatest(sum(sd), 1e-300) as md from h)",
+        "r0 as materialized (select host, st as t, sd as d from h)",
     ]
-    for k in range(ROUNDS):
+    for k in range(rounds):
+        ctes.append(f"g{k} as (select host, sum(t) as t, sum(d) as d from (select dst as host, wt*t as t, 0 as d from w join r{k} on src = host union all select src, 0, wd*d from w join r{k} on dst = host) z group by host)")
+        ctes.append(f"x{k} as (select coalesce(sum(case when sink then t end), 0) as t, coalesce(sum(case when source then d end), 0) as d from h join r{k} using (host))")
         ctes.append(
-            f"g{k} as (select host, sum(t) as t, sum(d) as d from (select dst as host, wt*t as t, 0 as d from w join r{k} on src = host union all select src, 0, wd*d from w join r{k} on dst = host) z group by host)"
+            f"r{k + 1} as materialized (select host, st*({1 - DAMPING!r} + {DAMPING}*x{k}.t/mt) + {DAMPING}*coalesce(g{k}.t, 0) as t, sd*({1 - DAMPING!r} + {DAMPING}*x{k}.d/md) + {DAMPING}*coalesce(g{k}.d, 0) as d from h cross join mass cross join x{k} left join g{k} using (host))"
         )
-        ctes.append(f"r{k + 1} as materialized (select host, round(st + {DAMPING}*coalesce(g{k}.t, 0), 12) as t, round(sd + {DAMPING}*coalesce(g{k}.d, 0), 12) as d from h left join g{k} using (host))")
-    ctes[9:10] = ["r0 as materialized (select host, st as t, sd as d from h)"]
-    verdict = f"coalesce(ruled, case when d > {SHARE}*(t + d) then 'block' else 'allow' end)"
-    return f"with {', '.join(ctes)} select page_id, r.host, path, rule, {verdict} as verdict from r left join r{ROUNDS} f on r.host = f.host"
+    return [*ctes, f"f as (select host, t, d, d > t and d >= {EVIDENCE}*pages as bad from r{rounds} join s using (host))"]
+
+
+def _op10() -> str:
+    links = [
+        """x as (select host as src, unnest(regexp_split_to_array(coalesce(html, ''), '(?i)href\\s*=\\s*["'']?\\s*(?:https?:)?//')[2:]) as x from r)""",
+        f"""y as (select src, {_LOWER.format("""regexp_extract(x, '^([^/?#"''<>\\s]*)', 1)""")} as dst from x)""",
+        "e as (select src, dst, count(*) as n from y where src <> '' and dst <> '' and src <> dst group by src, dst)",
+    ]
+    verdict = "coalesce(ruled, case when bad then 'block' else 'allow' end)"
+    return f"with {', '.join([*_RULED, *links, *_ranks(40)])} select page_id, r.host, path, rule, {verdict} as verdict from r left join f on r.host = f.host"
+
+
+def _derived() -> str:
+    links = ["e as (select a.host as src, b.host as dst, count(*) as n from (select host, unnest([3*page_id + 1, page_id//2]) as o from r where host <> '') a join r b on b.page_id = a.o and b.host <> '' and a.host <> b.host group by a.host, b.host)"]
+    return f"with {', '.join([*_RULED, *links, *_ranks(90)])} select host, case when bad then 'block' else 'allow' end as verdict, round(t, 3) as trust, round(d, 3) as distrust from f"
 
 
-ORACLE_SQL = {"op1_decontamination": OP1, "op2_warc": OP2, "op9_line_dedup": OP9, "op10_url_trust": _op10()}
+ORACLE_SQL = {"op1_decontamination": OP1, "op2_warc": OP2, "op9_line_dedup": OP9, "op10_url_trust": _op10(), "host_trust_derived_links": _derived()}

@@ -59,6 +59,11 @@ def op10_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urltrust.judge(_t(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def host_trust_derived_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 10's propagation over a link table derived from pages, which themselves hold no links between hosts."""
+    return urltrust.judge_derived(_t(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_warc": op2_warc,
@@ -70,4 +75,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licences": op8_licences,
     "op9_line_dedup": op9_line_dedup,
     "op10_url_trust": op10_url_trust,
+    "host_trust_derived_links": host_trust_derived_links,
 }

@@ -53,6 +53,7 @@ def test_loser_tree(k):
 def test_many_runs_merge_in_passes(spark, monkeypatch):
     monkeypatch.setattr(warc, "FAN_IN", 3)
     monkeypatch.setattr(warc, "BLOCK", 4)
+    monkeypatch.setattr(warc, "INDEX_BLOCK", 2)
     folder, made, keys = workdir(spark, "runs"), [], []
     rng = random.Random(1)
     for i in range(11):
@@ -68,6 +69,13 @@ def test_many_runs_merge_in_passes(spark, monkeypatch):
     assert got == sorted(keys)
 
 
+def test_any_text_is_a_page_id(spark):
+    rows = [("a\r\nb: c", "http://x/\r\n", "same"), ("", None, "same"), (None, "http://x/", "same"), ("z\ud7ff %", "", "other")]
+    got = warc.round_trip(spark.createDataFrame(rows, "page_id string, url string, html string")).collect()
+    top = max(r[0] for r in rows[:2])
+    assert sorted((str(r.page_id), r.record_type, r.refers_to) for r in got) == sorted([("a\r\nb: c", "response", None), ("", "revisit", top), ("None", "revisit", top), ("z\ud7ff %", "response", None)])
+
+
 def test_damaged_payload_is_found():
     import gzip
 
@@ -101,7 +109,7 @@ def test_ranges_cover_members_once_and_failed_members_stand_alone(spark, tmp_pat
 
     assert zipfile.ZipFile(tmp_path / "a.zip").testzip() is None
     raw = bytearray((tmp_path / "a.zip").read_bytes())
-    offset, size, _, name = media._members(str(tmp_path / "a.zip"))[3]
+    offset, size, _, name = list(media._members(storage.open_input(str(tmp_path / "a.zip"))))[3]
     raw[offset + 60] ^= 255
     (tmp_path / "a.zip").write_bytes(raw)
     bad = media.read_archives(spark, str(tmp_path), onError="null", retries=1).where("media is null").collect()
@@ -131,33 +139,70 @@ def plain_rule(host, path):
     return max(fits)[1:] if fits else (None, None)
 
 
+def plain_ranks(seeds, edges, rounds=400):
+    """{host: (trust, distrust)} by plain iteration; what hosts without links to follow hold returns to the seeds."""
+    hosts = sorted({x for e in edges for x in e[:2]} | {s[0] for s in seeds})
+    out = []
+    for which, (a, b) in ((1, (0, 1)), (2, (1, 0))):  # distrust runs against the links
+        s = {h: float(sum(x[which] for x in seeds if x[0] == h)) for h in hosts}
+        total = sum(s.values())
+        weight = {h: sum(e[2] for e in edges if e[a] == h) for h in hosts}
+        r = dict(s)
+        for _ in range(rounds if total else 0):
+            stuck = sum(r[h] for h in hosts if not weight[h])
+            r = {h: s[h] * (0.15 + 0.85 * stuck / total) + 0.85 * sum(r[e[a]] * e[2] / weight[e[a]] for e in edges if e[b] == h) for h in hosts}
+        out.append(r)
+    return {h: (out[0][h], out[1][h]) for h in hosts}
+
+
 def test_url_verdicts(pages):
     rows = urltrust.judge(pages).collect()
     urls = dict((i, u) for i, u, _ in PAGES)
     assert len(rows) == len(PAGES)
+    count, seeds = defaultdict(int), defaultdict(lambda: [0, 0])
+    for _, u, _ in PAGES:
+        host, path = plain_parts(u)
+        if host:
+            count[host] += 1
+            seeds[host][{"allow": 0, "block": 1}.get(plain_rule(host, path)[1], 0)] += plain_rule(host, path)[1] is not None
+    edges = [("www.example.com", "bad.net", 1), ("friend.org", "bad.net", 1), ("trusted.com", "good.org", 2)]
+    ranks = plain_ranks([(h, *x) for h, x in seeds.items()], edges)
     for r in rows:
         host, path = plain_parts(urls[r.page_id])
         rule, verdict = plain_rule(host, path)
         assert (r.host, r.path, r.rule) == (host, path, rule)
-        if verdict:
-            assert r.verdict == verdict
+        t, d = ranks.get(host, (0, 0))
+        assert r.verdict == (verdict or ("block" if d > t and d >= urltrust.EVIDENCE * count[host] else "allow"))
+        assert not host or (r.trust, r.distrust) == (pytest.approx(t, abs=1e-4), pytest.approx(d, abs=1e-4))
     by = {r.page_id: r.verdict for r in rows}
-    assert by[4] == "block"  # a host that the rules block
-    assert by[5] == "block"  # links to it
+    assert by[4] == "block"  # half of its host's pages are blocked by a rule
     assert by[6] == by[7] == by[8] == "allow"
     assert urltrust.judge(pages.limit(0)).count() == 0
 
 
+def test_little_evidence_blocks_nothing(spark):
+    """A host with one blocked page in ten is allowed; a page that links to blocked hosts alone is not."""
+    rows = [(i, f"http://big.net/{'es' if i == 0 else 'xx'}/{i}", "") for i in range(10)] + [(20, "http://bad.net/es/", ""), (21, "http://farm.org/", "<a href='//bad.net/'>")]
+    got = {r.page_id: r.verdict for r in urltrust.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[0] == "block" and all(got[i] == "allow" for i in range(1, 10)) and got[21] == "block"
+
+
 def test_propagation_equals_plain_iteration(spark):
-    edges = [("a", "b", 2), ("b", "c", 1), ("a", "c", 1), ("d", "c", 3), ("c", "a", 1)]
-    seeds = [("a", 3, 0), ("d", 1, 0), ("c", 0, 2)]
-    got = {r.host: (r.trust, r.distrust) for r in urltrust.propagate(spark.createDataFrame(seeds, "host string, trusted long, blocked long"), spark.createDataFrame(edges, "src string, dst string, n long")).collect()}
-    hosts = sorted({x for e in edges for x in e[:2]})
-    st = {h: 0.15 * sum(t for x, t, _ in seeds if x == h) / 4 for h in hosts}
-    sd = {h: 0.15 * sum(b for x, _, b in seeds if x == h) / 2 for h in hosts}
-    t, d = dict(st), dict(sd)
-    for _ in range(300):
-        t = {h: st[h] + 0.85 * sum(t[u] * n / sum(m for a, _, m in edges if a == u) for u, v, n in edges if v == h) for h in hosts}
-        d = {h: sd[h] + 0.85 * sum(d[v] * n / sum(m for _, b, m in edges if b == v) for u, v, n in edges if u == h) for h in hosts}
-    for h in hosts:
-        assert got[h] == (pytest.approx(t[h], abs=1e-3), pytest.approx(d[h], abs=1e-3))
+    edges = [("a", "b", 2), ("b", "c", 1), ("a", "c", 1), ("d", "c", 3), ("c", "a", 1), ("b", "e", 1)]
+    seeds = [("a", 3, 0), ("d", 1, 0), ("c", 0, 2), ("f", 0, 0)]
+    out = urltrust.propagate(spark.createDataFrame(seeds, "host string, trusted long, blocked long"), spark.createDataFrame(edges, "src string, dst string, n long")).collect()
+    got, want = {r.host: (r.trust, r.distrust) for r in out}, plain_ranks(seeds, edges)
+    assert got.keys() == want.keys()
+    for h in want:
+        assert got[h] == (pytest.approx(want[h][0], abs=1e-4), pytest.approx(want[h][1], abs=1e-4))
+    assert sum(x[0] for x in got.values()) == pytest.approx(4) and sum(x[1] for x in got.values()) == pytest.approx(2)
+
+
+def test_propagation_decides_verdicts(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    with_links = {r.host: r.verdict for r in urltrust.judge_derived(pages).collect()}
+    hosts = urltrust.hosts_of(urltrust.judged_by_rules(pages))
+    none = spark.createDataFrame([], "src string, dst string, n long")
+    alone = {r.host: "block" if r.bad else "allow" for r in urltrust.host_verdicts(hosts, none).collect()}
+    assert with_links.keys() == alone.keys() and len(set(with_links.values())) == 2
+    assert sum(with_links[h] != alone[h] for h in alone) > 0
