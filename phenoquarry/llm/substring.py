@@ -1,10 +1,14 @@
 """Exact substring dedup over byte strings of WIDTH, by a suffix sort that compares with polynomial hashes.
 
 Every window of WIDTH bytes has an anchor, its least k-gram by hash, so equal windows have equal anchors. Neighbouring
-windows of one anchor form a block. Blocks that are equal as a whole are settled by their hash: the least document keeps
-them. Where one anchor stands in different blocks (the edges of what documents share), the blocks' bytes are brought
-together and the suffixes at equal distance from the anchor are mergesorted: a comparison finds the common extension by
-binary search over prefix hashes, and neighbours that come out equal are verified byte by byte.
+windows of one anchor form a block. Blocks with equal prefix-polynomial hashes are claimed to be copies; the claim holds
+only if digests (128 bits) of their bytes agree, within a chunk if the bytes do, and the least document keeps them. Where
+one anchor stands in different blocks (the edges of what documents share), the blocks' bytes are brought together and
+the suffixes at equal distance from the anchor are mergesorted: a comparison finds the common extension by binary search
+over prefix hashes, and neighbours that come out equal are verified byte by byte.
+
+An anchor with many blocks is hot: its windows are then compared by window, keyed by their own bytes, so they spread
+evenly. A chunk knows its own hot anchors and asks about each with one row, so no group holds all blocks of a hot anchor.
 
 Documents lie in chunk files in the shared folder. A chunk asks for its distinct blocks and windows, the answers come back
 by chunk, and texts themselves are never shuffled.
@@ -20,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialize, workdir
 from .storage import Writer, open_input
@@ -29,6 +34,11 @@ WIDTH, GRAM = 50, 25
 CHUNK, PIECE, BUCKET = 8 << 20, 1 << 20, 8 << 20
 #: Blocks of one anchor from which on their windows are compared by window, not by anchor, so that no group is large.
 HOT = 20_000
+#: The same for the blocks of one chunk, which decides without asking.
+LOCAL_HOT = 128
+#: A block's code: kept, claimed by a smaller document, its anchor has other blocks, or very many; and a flag for blocks
+#: that several chunks have.
+KEPT, CLAIMED, MIXED, MANY, SHARED = 0, 1, 2, 3, 4
 NULL_ID = -(1 << 63)
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -136,15 +146,40 @@ class Chunk:
         self.blocks = blocks(self.texts)
         _, self.first, self.distinct = np.unique(self.blocks["b"], return_index=True, return_inverse=True)
         self.least = self.order[self.blocks["doc"][self.first]]
+        _, lead, anchor, times = np.unique(self.blocks["a"][self.first], return_index=True, return_inverse=True, return_counts=True)
+        self.hot = times[anchor] > LOCAL_HOT
+        #: Which distinct blocks are asked about: of a hot anchor's one.
+        self.asked = ~self.hot
+        self.asked[lead] = True
 
     def buckets(self, n: int) -> Iterator[tuple[int, np.ndarray]]:
-        """Bucket and its distinct blocks' numbers."""
+        """Bucket and the numbers of the distinct blocks that are asked about."""
         of = ((self.blocks["a"][self.first] & _LOW) % _U(n)).astype(np.int64)
-        yield from _by(of)
+        asked = np.flatnonzero(self.asked)
+        for k, part in _by(of[asked]):
+            yield k, asked[part]
+
+    def body(self, i: int) -> bytes:
+        """The bytes of an occurrence of a block."""
+        start = self.blocks["start"][i]
+        return self.texts[self.blocks["doc"][i]][start : start + self.blocks["count"][i] + WIDTH - 1]
+
+    def claims(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the distinct blocks that other chunks have too, and digests of their bytes (two words each)."""
+        at = np.flatnonzero(codes & SHARED)
+        raw = b"".join(hashlib.blake2b(self.body(i), digest_size=16).digest() for i in self.first[at])
+        return at, np.frombuffer(raw, np.uint64).reshape(-1, 2)
+
+    def genuine(self, wanted: np.ndarray) -> np.ndarray:
+        """Of the wanted occurrences those whose bytes are those of their distinct block, which the first one stands for."""
+        out = wanted.copy()
+        for i in np.flatnonzero(wanted & (self.first[self.distinct] != np.arange(len(wanted)))):
+            out[i] = self.body(i) == self.body(self.first[self.distinct[i]])
+        return out
 
     def fragments(self, codes: np.ndarray) -> dict[str, np.ndarray]:
-        """Of the distinct blocks with code 2, a fragment each; of those with code 3, one for each window, keyed by its bytes."""
-        amb, hot = np.flatnonzero(codes == 2), np.flatnonzero(codes == 3)
+        """Of the distinct blocks coded MIXED, a fragment each; of those coded MANY, one for each window, keyed by its bytes."""
+        amb, hot = np.flatnonzero(codes & 3 == MIXED), np.flatnonzero(codes & 3 == MANY)
         count = self.blocks["count"][self.first]
         n_hot = count[hot]
         block = np.concatenate([amb, np.repeat(hot, n_hot)])
@@ -204,40 +239,41 @@ def _asker(folder: str, buckets: int):
             for name in batch.column("chunk").to_pylist():
                 c = Chunk(f"{folder}/{name}")
                 a, b = c.blocks["a"][c.first] >> _U(32), c.blocks["b"][c.first]
-                rows = [(k, name, a[p].astype(np.uint32).tobytes(), b[p].tobytes(), c.least[p].tobytes()) for k, p in c.buckets(buckets)]
+                rows = [(k, name, a[p].astype(np.uint32).tobytes(), b[p].tobytes(), c.least[p].tobytes(), c.hot[p].tobytes()) for k, p in c.buckets(buckets)]
                 if not rows:  # no window at all: the chunk still has to come back
-                    rows = [(0, name, b"", b"", b"")]
+                    rows = [(0, name, b"", b"", b"", b"")]
                 for i in range(0, len(rows), 1000):
-                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows[i : i + 1000]), (pa.int32(), pa.string(), *[pa.binary()] * 3))], ["bucket", "chunk", "a", "b", "d"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows[i : i + 1000]), (pa.int32(), pa.string(), *[pa.binary()] * 4))], ["bucket", "chunk", "a", "b", "d", "hot"])
 
     return run
 
 
 def _answer_blocks(t: pa.Table) -> pa.Table:
-    """A code for each block asked for: 0 kept, 1 a smaller document has it, 2 its anchor has other blocks, 3 very many."""
-    cols = {c: t.column(c).to_pylist() for c in ("a", "b", "d")}
+    """A code for each block asked about."""
+    cols = {c: t.column(c).to_pylist() for c in ("a", "b", "d", "hot")}
     sizes = [len(x) // 4 for x in cols["a"]]
-    a = np.frombuffer(b"".join(cols["a"]), np.uint32)
-    b = np.frombuffer(b"".join(cols["b"]), np.uint64)
-    d = np.frombuffer(b"".join(cols["d"]), np.int64)
+    a, b, d, hot = (np.frombuffer(b"".join(cols[c]), k) for c, k in (("a", np.uint32), ("b", np.uint64), ("d", np.int64), ("hot", bool)))
     codes = np.zeros(len(a), np.uint8)
     if len(a):
         order = np.lexsort((d, b))
         start = np.append(True, b[order][1:] != b[order][:-1])
         group = np.cumsum(start) - 1
-        least = d[order][start]
-        codes[order] = least[group] < d[order]
-        ua = a[order][start]
+        least, ua = d[order][start], a[order][start]
+        claimed = np.zeros(len(a), bool)
+        claimed[order] = least[group] < d[order]
+        shared = np.bincount(group) > 1
         by_a = np.lexsort((least, ua))
         edge = np.append(True, ua[by_a][1:] != ua[by_a][:-1])
         g = np.cumsum(edge) - 1
         lo, hi = least[by_a][edge], least[by_a][np.append(edge[1:], True)]
-        many = np.bincount(g) > HOT
+        is_hot = np.zeros(len(ua), bool)
+        is_hot[group[hot[order]]] = True
+        many = (np.bincount(g) > HOT) | (np.bincount(g, is_hot[by_a]) > 0)
         code_of = np.zeros(len(ua), np.uint8)
-        code_of[by_a] = np.where((lo == hi)[g], 0, np.where(many[g], 3, 2))
+        code_of[by_a] = np.where(many[g], MANY, np.where((lo == hi)[g], KEPT, MIXED))
         own = np.zeros(len(a), np.int64)
         own[order] = group
-        codes = np.where(codes == 1, 1, code_of[own]).astype(np.uint8)
+        codes = np.where(code_of[own] == MANY, MANY, np.where(claimed, CLAIMED, code_of[own]) + SHARED * shared[own]).astype(np.uint8)
     ends = np.cumsum(sizes)
     parts = [codes[e - n : e].tobytes() for e, n in zip(ends, sizes)]
     return pa.table({"chunk": t.column("chunk"), "bucket": t.column("bucket"), "codes": pa.array(parts, pa.binary())})
@@ -245,23 +281,30 @@ def _answer_blocks(t: pa.Table) -> pa.Table:
 
 def _codes(c: Chunk, t: pa.Table, buckets: int) -> np.ndarray:
     answers = dict(zip(t.column("bucket").to_pylist(), t.column("codes").to_pylist()))
-    codes = np.zeros(len(c.first), np.uint8)
+    codes = np.where(c.hot, MANY, KEPT).astype(np.uint8)
     for k, part in c.buckets(buckets):
         codes[part] = np.frombuffer(answers[k], np.uint8)
     return codes
 
 
+def _spread(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return ((_mix(keys) & _LOW) % _U(buckets)).astype(np.int64)
+
+
 def _fragmenter(folder: str, buckets: int):
     def run(key: tuple, t: pa.Table) -> pa.Table:
         name = key[0].as_py()
         c = Chunk(f"{folder}/{name}")
-        f = c.fragments(_codes(c, t, buckets))
-        rows = []
-        for k, p in _by(((_mix(f["key"]) & _LOW) % _U(buckets)).astype(np.int64)):
+        codes = _codes(c, t, buckets)
+        f, (claimed, digests) = c.fragments(codes), c.claims(codes)
+        parts, claims = dict(_by(_spread(f["key"], buckets))), dict(_by(_spread(c.blocks["b"][c.first[claimed]], buckets)))
+        rows, none = [], np.zeros(0, np.int64)
+        for k in sorted({*parts, *claims}):
+            p, q = parts.get(k, none), claims.get(k, none)
             sizes = np.stack([f["size"][p], f["rel"][p]]).astype(np.int32)
-            rows.append((k, name, f["key"][p].tobytes(), f["least"][p].tobytes(), sizes.tobytes(), b"".join(f["body"][p])))
-        cols = list(zip(*rows)) or [[]] * 6
-        return pa.table({n: pa.array(x, k) for n, x, k in zip(("bucket", "chunk", "key", "d", "sizes", "body"), cols, (pa.int32(), pa.string(), *[pa.binary()] * 4))})
+            rows.append((k, name, f["key"][p].tobytes(), f["least"][p].tobytes(), sizes.tobytes(), b"".join(f["body"][p]), digests[q].tobytes(), c.least[claimed[q]].tobytes()))
+        cols = list(zip(*rows)) or [[]] * 8
+        return pa.table({n: pa.array(x, k) for n, x, k in zip(("bucket", "chunk", "key", "d", "sizes", "body", "digests", "owners"), cols, (pa.int32(), pa.string(), *[pa.binary()] * 6))})
 
     return run
 
@@ -308,8 +351,9 @@ def suffix_sort(data: np.ndarray, p: Prefixes, at: np.ndarray, group: np.ndarray
 
 
 def _answer_windows(t: pa.Table) -> pa.Table:
-    """For each fragment, which of its windows (bits) a smaller document has at the same distance from the same anchor."""
-    cols = {c: t.column(c).to_pylist() for c in ("key", "d", "sizes", "body")}
+    """For each fragment, which of its windows (bits) a smaller document has at the same distance from the same anchor; for
+    each claimed block, whether a smaller document has one of the same digest."""
+    cols = {c: t.column(c).to_pylist() for c in ("key", "d", "sizes", "body", "digests", "owners")}
     counts = [len(x) // 8 for x in cols["key"]]
     key = np.frombuffer(b"".join(cols["key"]), np.uint64)
     d = np.frombuffer(b"".join(cols["d"]), np.int64)
@@ -331,10 +375,20 @@ def _answer_windows(t: pa.Table) -> pa.Table:
             k = e
     ends = np.cumsum(counts)
     parts = [masks[e - n : e].tobytes() for e, n in zip(ends, counts)]
-    return pa.table({"chunk": t.column("chunk"), "bucket": t.column("bucket"), "masks": pa.array(parts, pa.binary())})
+    digests, owner = np.frombuffer(b"".join(cols["digests"]), np.uint64).reshape(-1, 2), np.frombuffer(b"".join(cols["owners"]), np.int64)
+    proven = np.zeros(len(owner), bool)
+    if len(owner):
+        order = np.lexsort((owner, digests[:, 1], digests[:, 0]))
+        start = np.append(True, (digests[order][1:] != digests[order][:-1]).any(1))
+        proven[order] = owner[order][start][np.cumsum(start) - 1] < owner[order]
+    ends, counts = np.cumsum([len(x) // 8 for x in cols["owners"]]), [len(x) // 8 for x in cols["owners"]]
+    proofs = [proven[e - n : e].tobytes() for e, n in zip(ends, counts)]
+    return pa.table({"chunk": t.column("chunk"), "bucket": t.column("bucket"), "masks": pa.array(parts, pa.binary()), "proofs": pa.array(proofs, pa.binary())})
 
 
 def _settle(frag, key, d, size, rel, begin, data, prefixes, masks) -> None:
+    if not len(frag):  # a bucket of claims alone
+        return
     n = size[frag]
     f = np.repeat(frag, n)
     t = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -370,15 +424,21 @@ def _finisher(folder: str, buckets: int, with_text: bool):
         c = Chunk(f"{folder}/{name}")
         codes = _codes(c, left, buckets)
         f = c.fragments(codes)
-        answers = dict(zip(right.column("bucket").to_pylist(), right.column("masks").to_pylist()))
+        answers = {k: (m, p) for k, m, p in zip(*(right.column(x).to_pylist() for x in ("bucket", "masks", "proofs")))}
         masks = np.zeros(len(f["block"]), np.uint32)
-        for k, p in _by(((_mix(f["key"]) & _LOW) % _U(buckets)).astype(np.int64)):
-            masks[p] = np.frombuffer(answers[k], np.uint32)
+        for k, p in _by(_spread(f["key"], buckets)):
+            masks[p] = np.frombuffer(answers[k][0], np.uint32)
+        claimed = np.flatnonzero(codes & SHARED)
+        proven = np.zeros(len(c.first), bool)
+        for k, p in _by(_spread(c.blocks["b"][c.first[claimed]], buckets)):
+            proven[claimed[p]] = np.frombuffer(answers[k][1], bool)
         windows = np.zeros(len(c.first), np.uint32)  # of the distinct blocks, WIDTH - GRAM + 1 windows at most
         np.bitwise_or.at(windows, f["block"], masks << f["skip"].astype(np.uint32))
         doc, start, count = (c.blocks[k] for k in ("doc", "start", "count"))
-        whole = (codes == 1)[c.distinct] | (c.order[doc] > c.least[c.distinct])
-        part = np.flatnonzero(~whole & (windows[c.distinct] > 0))
+        whole = proven[c.distinct] | (c.order[doc] > c.least[c.distinct])
+        genuine = c.genuine(whole | (windows[c.distinct] > 0))
+        whole &= genuine
+        part = np.flatnonzero(~whole & genuine & (windows[c.distinct] > 0))
         n = count[part]
         t = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         hit = (np.repeat(windows[c.distinct[part]], n) >> t.astype(np.uint32)) & np.uint32(1) > 0
@@ -413,14 +473,16 @@ def remove_repeats(documents: DataFrame, with_text: bool = False) -> DataFrame:
     """
     spark = documents.sparkSession
     folder = workdir(spark, "chunks")
+    if not isinstance(documents.schema["doc_id"].dataType, T.IntegralType):
+        raise TypeError("doc_ids must be integers: 'smaller' is their order")
     d = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     chunks = materialize(d.mapInArrow(_chunker(folder), "chunk string, bytes long"), "manifest")
     n, total = chunks.agg(F.count(F.lit(1)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
     buckets = max(32, total // BUCKET)
     dealt = chunks.repartition(max(1, n)) if n else chunks
-    asked = dealt.mapInArrow(_asker(folder, buckets), "bucket int, chunk string, a binary, b binary, d binary")
+    asked = dealt.mapInArrow(_asker(folder, buckets), "bucket int, chunk string, a binary, b binary, d binary, hot binary")
     codes = materialize(asked.groupBy("bucket").applyInArrow(_answer_blocks, "chunk string, bucket int, codes binary"), "codes")
-    parts = codes.groupBy("chunk").applyInArrow(_fragmenter(folder, buckets), "bucket int, chunk string, key binary, d binary, sizes binary, body binary")
-    masks = materialize(parts.groupBy("bucket").applyInArrow(_answer_windows, "chunk string, bucket int, masks binary"), "masks")
+    parts = codes.groupBy("chunk").applyInArrow(_fragmenter(folder, buckets), "bucket int, chunk string, key binary, d binary, sizes binary, body binary, digests binary, owners binary")
+    masks = materialize(parts.groupBy("bucket").applyInArrow(_answer_windows, "chunk string, bucket int, masks binary, proofs binary"), "masks")
     both = codes.groupBy("chunk").cogroup(masks.groupBy("chunk"))
     return both.applyInArrow(_finisher(folder, buckets, with_text), RESULT + (", kept binary" if with_text else ""))

@@ -7,6 +7,8 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 import xxhash
 from tokenizers import Tokenizer
@@ -161,24 +163,47 @@ def test_substrings(rows, documents):
     same_rows([tuple(r) for r in substring.remove_repeats(documents).collect()], want)
 
 
-def test_substrings_in_pieces_and_hot_anchors(spark, monkeypatch):
-    """Documents cut into small pieces, many contexts of one anchor: the same bytes go."""
+def in_process(folder, chunks, buckets=3):
+    """remove_repeats() without Spark, so that its bounds and hashes can be replaced: rows by doc_id."""
+    batches = lambda rows: iter([pa.RecordBatch.from_pylist(rows)])
+    done = [x for rows in chunks for b in substring._chunker(folder)(batches([{"doc_id": i, "text": t} for i, t in rows])) for x in b.to_pylist()]
+    asked = pa.Table.from_batches(substring._asker(folder, buckets)(batches([{"chunk": x["chunk"]} for x in done])))
+    by = lambda t, c: [(k, t.filter(pa.compute.equal(t.column(c), k))) for k in t.column(c).unique()]
+    codes = pa.concat_tables([substring._answer_blocks(t) for _, t in by(asked, "bucket")])
+    parts = pa.concat_tables([substring._fragmenter(folder, buckets)((k,), t) for k, t in by(codes, "chunk")])
+    masks = [substring._answer_windows(t) for _, t in by(parts, "bucket")]
+    masks = pa.concat_tables(masks) if masks else None
+    out = [substring._finisher(folder, buckets, False)((k,), t, masks.filter(pa.compute.equal(masks.column("chunk"), k))) for k, t in by(codes, "chunk")]
+    return sorted(((r["doc_id"], r["n_removed"]) for t in out for r in t.to_pylist()))
+
+
+@pytest.mark.parametrize("change", [{}, {"HOT": 5}, {"LOCAL_HOT": 3}, {"PIECE": 64}, {"weak": True}])
+def test_substrings_in_process(tmp_path, monkeypatch, change):
+    """Documents cut into small pieces, many contexts of one anchor (in one chunk or in all), hashes that collide."""
     rng = np.random.default_rng(5)
+    letters = lambda n: "".join(rng.choice(list("abcdef"), n))
     phrase = "the quick brown fox jumps over the lazy dog and runs "
-    texts = ["".join(rng.choice(list("abcdef"), rng.integers(5, 40))) + phrase[: rng.integers(40, 54)] + "".join(rng.choice(list("abcdef"), rng.integers(5, 300))) for _ in range(80)]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
-    want = sorted(tuple(r) for r in substring.remove_repeats(docs).collect())
+    texts = [letters(rng.integers(5, 40)) + phrase[: rng.integers(40, 54)] + letters(rng.integers(5, 300)) for _ in range(80)]
+    texts += [texts[3], texts[7] + texts[3], texts[9][:120] + letters(40) + texts[9][100:]]
     seen, plain = {}, []
     for i, t in enumerate(texts):
         b, gone = t.encode(), set()
         for p in range(len(b) - 49):
             if seen.setdefault(b[p : p + 50], i) < i:
                 gone |= set(range(p, p + 50))
-        plain.append(len(gone))
-    assert [w[2] for w in want] == plain and sum(plain)
-    chunk = substring.blocks([t.encode() for t in texts])
-    monkeypatch.setattr(substring, "PIECE", 64)
-    assert sum(substring.blocks([t.encode() for t in texts])["count"]) == sum(chunk["count"])
+        plain.append((i, len(gone)))
+    weak = change.pop("weak", False)
+    for name, value in change.items():
+        monkeypatch.setattr(substring, name, value)
+    if weak:  # whole blocks get one of 64 hashes: claims that bytes don't bear out take nothing away
+        blocks = substring.blocks
+        monkeypatch.setattr(substring, "blocks", lambda t: (x := blocks(t)) | {"b": x["b"] % np.uint64(64)})
+    rows = list(enumerate(texts))
+    got = in_process(str(tmp_path), [rows[0::3], rows[1::3], rows[2::3]])
+    if weak:
+        assert all(g[1] <= w[1] for g, w in zip(got, plain))
+    else:
+        assert got == plain and sum(x for _, x in plain)
 
 
 def test_suffix_sort():
