@@ -6,7 +6,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..kernels import geometry, raster
 
@@ -22,21 +24,65 @@ def _points(p: np.ndarray) -> list[dict]:
     return [{"x": float(x), "y": float(y)} for x, y in p]
 
 
+def _flat_rings(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All points of a column of rings, and where each ring begins and the last ends; a null ring is empty."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    if not len(column):
+        return np.zeros((0, 2)), np.zeros(1, np.int64)
+    sizes = np.asarray(column.value_lengths().fill_null(0), np.int64)
+    flat = column.flatten()
+    return np.stack([flat.field("x").to_numpy(zero_copy_only=False), flat.field("y").to_numpy(zero_copy_only=False)], axis=1), np.append(0, np.cumsum(sizes))
+
+
+def _lists(points: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    xy = pa.StructArray.from_arrays([pa.array(points[:, 0]), pa.array(points[:, 1])], ["x", "y"])
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), xy)
+
+
+def _upright(q: np.ndarray, tolerance: float) -> np.ndarray:
+    """Which of the four-point rings (n, 4, 2) are upright boxes that lose no corner by simplification: they have closed forms."""
+    lo, hi = q.min(1, keepdims=True), q.max(1, keepdims=True)
+    turns = (q != np.roll(q, -1, 1)).sum(2)
+    w, h = (hi - lo)[:, 0].T
+    diagonal = np.hypot(w, h)
+    return ((q == lo) | (q == hi)).all((1, 2)) & (turns == 1).all(1) & (np.minimum(w, h) > tolerance) & (w * h > tolerance * diagonal)
+
+
+def _measured(r: np.ndarray, tolerance: float) -> tuple:
+    long, short, u = geometry.rotated_rectangle(r)
+    m = geometry.shape_metrics(r)
+    angle = float(np.degrees(np.arctan2(u[1], u[0])) % 180)
+    return geometry.area(r), geometry.perimeter(r), long, short, angle, m["aspect"], m["solidity"], m["extent"], m["compactness"], geometry.simplify(r, tolerance)
+
+
 def shape_features(polygons: DataFrame, tolerance: float = 1.0) -> DataFrame:
-    """Rows (id, ring) to SHAPES; rings of fewer than three points are left out."""
+    """Rows (id, ring) to SHAPES; rings of fewer than three points are left out. Upright boxes are measured all at once."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for i, ring in zip(b.id, b.ring):
-                r = _ring(ring if ring is not None else [])
-                if len(r) >= 3:
-                    long, short, u = geometry.rotated_rectangle(r)
-                    m = geometry.shape_metrics(r)
-                    rows.append((i, geometry.area(r), geometry.perimeter(r), long, short, float(np.degrees(np.arctan2(u[1], u[0])) % 180), m["aspect"], m["solidity"], m["extent"], m["compactness"], _points(geometry.simplify(r, tolerance))))
-            yield pd.DataFrame(rows, columns=[c.split(" ")[0] for c in SHAPES.split(", ")])
-
-    return polygons.select("id", "ring").mapInPandas(run, SHAPES)
+            points, at = _flat_rings(b.column("ring"))
+            n = np.diff(at)
+            boxes = np.flatnonzero(n == 4)
+            q = points[at[boxes][:, None] + np.arange(4)]
+            good = _upright(q, tolerance)
+            boxes, q = boxes[good], q[good]
+            values = np.zeros((b.num_rows, 9))
+            w, h = np.ptp(q, axis=1).T
+            along = np.where(w >= h, 0.0, 90.0)
+            long, short, s, around = np.maximum(w, h), np.minimum(w, h), w * h, 2 * (w + h)
+            one = np.ones(len(boxes))
+            values[boxes] = np.stack([s, around, long, short, along, long / short, one, one, 4 * np.pi * s / around**2], axis=1) if len(boxes) else values[boxes]
+            kept = {int(i): None for i in boxes}
+            for i in np.setdiff1d(np.flatnonzero(n >= 3), boxes):
+                *values[i], kept[int(i)] = _measured(points[at[i] : at[i + 1]], tolerance)
+            rows = np.array(sorted(kept), np.int64)
+            rings = [points[at[i] : at[i + 1]] if kept[i] is None else kept[i] for i in rows.tolist()]
+            simple = _lists(np.concatenate(rings) if rings else np.zeros((0, 2)), np.array([len(x) for x in rings], np.int64))
+            names = [c.split(" ")[0] for c in SHAPES.split(", ")]
+            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(rows)), *(pa.array(values[rows, k]) for k in range(9)), simple], names)
+
+    return polygons.select(F.col("id").cast("long").alias("id"), "ring").mapInArrow(run, SHAPES)
 
 
 SUPPORTS = f"id long, endpoints int, branches int, raw {XY}, length_px double"

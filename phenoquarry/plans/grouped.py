@@ -67,12 +67,14 @@ def _hypotheses_studio(det):
     return out.groupBy("page_id", "class_name", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
-@_query("U4_hypotheses_cover_evidence", "select cast(null as bigint) as key, '' as fault where false")
+@_query("U4_hypotheses_cover_evidence", "select det_id as key, case when det_id % 50 = 0 then 'missing' else 'foreign' end as fault from (select det_id from fx_detections where det_id % 50 = 0 union all select det_id + 1000000000 from fx_detections where det_id % 50 = 1) z")
 def _cover(det):
+    """The members of all hypotheses cover the evidence; evidence taken away or added shows."""
     from ..operators.checks import partition_faults
 
     members = clusters.reconcile(det, pairs.classify(pairs.candidate_pairs(det))).select(F.explode("members").alias("det_id"))
-    return partition_faults(det, [members], "det_id")
+    seen = members.where("det_id % 50 <> 0").unionByName(det.where("det_id % 50 = 1").select((F.col("det_id") + 1000000000).alias("det_id")))
+    return partition_faults(det, [seen], "det_id")
 
 
 @_query("A6_compaction")
@@ -81,9 +83,10 @@ def _compaction(det):
     return out.select("page_id", "anchor", F.array_join(F.transform("members", lambda m: m.cast("string")), ",").alias("members"))
 
 
-@_query("X14_compaction_summary", "select page_id, count(*) as n from fx_detections where class_id = 0 group by page_id")
+@_query("X14_compaction_summary")
 def _compaction_summary(det):
-    return clusters.compact(det.where("class_id = 0")).groupBy("page_id").agg(F.sum(F.size("members")).cast("long").alias("n"))
+    d = clusters.compact(det.where("class_id = 0"))
+    return d.groupBy("page_id").agg(F.sum(F.size("members")).cast("long").alias("n"), F.count(F.lit(1)).alias("n_left"), F.count_if(F.size("members") > 1).alias("n_groups"), F.max(F.size("members")).alias("largest"))
 
 
 @_query("A8_best_pair_dedupe")
@@ -136,11 +139,12 @@ def _growth_summary(det):
 
 @_query("J20_inspection_records")
 def _inspection(det):
-    d = _grown(det)
-    win = d.where("place = 1").select("page_id", "spikelet_id", "seed_id", "branch_score", "growth_hops", "steps")
-    rest = d.where("place > 1").groupBy("spikelet_id").agg(F.count(F.lit(1)).alias("n_alternatives"), F.max("branch_score").alias("best_alternative"))
+    first = F.col("place") == 1
+    d = _grown(det).groupBy("spikelet_id").agg(
+        *[F.max(F.when(first, F.col(c))).alias(c) for c in ("seed_id", "branch_score", "growth_hops")], F.count_if(~first).alias("n_alternatives"), F.max(F.when(~first, F.col("branch_score"))).alias("best_alternative")
+    )
     spikelets = det.where("class_id = 1").select(F.col("det_id").alias("spikelet_id"), "confidence")
-    out = spikelets.join(win, "spikelet_id", "full_outer").join(rest, "spikelet_id", "full_outer")
+    out = spikelets.join(d, "spikelet_id", "full_outer")
     return out.select("spikelet_id", "confidence", "seed_id", F.round("branch_score", 6).alias("branch_score"), "growth_hops", F.coalesce("n_alternatives", F.lit(0).cast("long")).alias("n_alternatives"), F.round("best_alternative", 6).alias("best_alternative"))
 
 
@@ -186,6 +190,6 @@ def _resolved(det):
 
     near = spatial.box_self_join(supports_of(det).select("page_id", "support_id", "path", "x1", "y1", "x2", "y2"), 2.8 / MM, ["page_id"], "support_id")
     a, b = (Box(*(F.col(f"{s}.{c}") for c in ("x1", "y1", "x2", "y2"))) for s in "lr")
-    d = near.where(gap(a, b) > 0).select((F.col("l.support_id") * 1000000 + F.col("r.support_id")).alias("id"), F.col("l.path").alias("current"), F.col("r.path").alias("support"))
+    d = near.where(gap(a, b) > 0).select(F.struct(F.col("l.support_id").alias("a"), F.col("r.support_id").alias("b")).alias("id"), F.col("l.path").alias("current"), F.col("r.path").alias("support"))
     out = trajectories.resolve_pairs(d)
-    return out.select("id", "entry", "reversed", *[F.round(c, 6).alias(c) for c in ("distance", "angle", "extension", "internal_turn", "join_local_turn_deg", "join_excess_turn_deg", "multiscale_angle_deg")])
+    return out.select("id.a", "id.b", "entry", "reversed", *[F.round(c, 6).alias(c) for c in ("distance", "angle", "extension", "internal_turn", "join_local_turn_deg", "join_excess_turn_deg", "multiscale_angle_deg")])

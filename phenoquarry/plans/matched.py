@@ -59,9 +59,23 @@ def _j2(det):
     return d.select("page_id", "class_name", "a", "b", _r("iou").alias("iou"), _r("overlap").alias("overlap"))
 
 
-@_query("A7_tile_merge_cover", "select page_id, class_name, count(*) as n from fx_detections group by page_id, class_name", "fx_detections")
+@_query(
+    "A7_tile_merge_groups",
+    f"""with recursive p as (select a.page_id, a.class_name, a.det_id as a, b.det_id as b, {_IOU} as i, {_A} as aa, {_B} as ba, least(a.x2, b.x2) - greatest(a.x1, b.x1) as w, least(a.y2, b.y2) - greatest(a.y1, b.y1) as h,
+      greatest(a.tx1, b.tx1) as sx1, least(a.tx1, b.tx1) + 640 as sx2, greatest(a.ty1, b.ty1) as sy1, least(a.ty1, b.ty1) + 640 as sy2, a.x1 as ax1, a.y1 as ay1, a.x2 as ax2, a.y2 as ay2, b.x1 as bx1, b.y1 as by1, b.x2 as bx2, b.y2 as by2
+      from fx_detections a join fx_detections b on a.page_id = b.page_id and a.class_id = b.class_id and a.det_id < b.det_id and a.tile_id <> b.tile_id and {_TOUCH}),
+    q as (select *, (least(ax2, sx2) - greatest(ax1, sx1))*(least(ay2, sy2) - greatest(ay1, sy1)) as la, (least(bx2, sx2) - greatest(bx1, sx1))*(least(by2, sy2) - greatest(by1, sy1)) as lb,
+      greatest(0, least(ax2, bx2, sx2) - greatest(ax1, bx1, sx1))*greatest(0, least(ay2, by2, sy2) - greatest(ay1, by1, sy1)) as li from p where sx2 > sx1 and sy2 > sy1),
+    e as (select a, b from q where i >= 8 and i/least(aa, ba) >= 0.45 and la + lb - li > 0 and li/(la + lb - li) >= 0.35 and greatest(w, h) >= 24),
+    u as (select a, b from e union all select b, a from e),
+    r(det_id, root) as (select det_id, det_id from fx_detections union select u.b, r.root from r join u on u.a = r.det_id where u.b > r.root),
+    c as (select det_id, min(root) as root from r group by det_id)
+    select page_id, class_name, count(distinct root) as n_groups, max(n) as largest from (select d.page_id, d.class_name, c.root, count(*) over (partition by c.root) as n from c join fx_detections d on d.det_id = c.det_id) z group by page_id, class_name""",
+    "fx_detections",
+)
 def _a7(det):
-    return matching.merge_across_tiles(det).groupBy("page_id", "class_name").agg(F.sum(F.size("members")).cast("long").alias("n"))
+    d = matching.merge_across_tiles(det)
+    return d.groupBy("page_id", "class_name").agg(F.count(F.lit(1)).alias("n_groups"), F.max(F.size("members")).cast("long").alias("largest"))
 
 
 @_query(
@@ -134,25 +148,11 @@ def _a13(det):
     return matching.physical_seeds(h).select("det_id", "outcome")
 
 
-@_query("A31_closeout_totals", "select count(distinct page_id) as n_pages, count(*) as n_spikelets, sum(case when confidence >= 0.5 then 1 else 0 end)::bigint as n_sure from fx_detections where class_id = 1", "fx_detections")
-def _a31(det):
-    return det.where("class_id = 1").agg(F.countDistinct("page_id").alias("n_pages"), F.count(F.lit(1)).alias("n_spikelets"), F.count_if(F.col("confidence") >= 0.5).alias("n_sure"))
-
-
 @_query("A38_mean_period", "select page_id, round(5.0/((width/60.0 + height/41.0)/2), 6) as mm_per_px from fx_source_pages", "fx_source_pages")
 def _a38(pages):
     return pages.select("page_id", _r(matching.mean_period_mm(F.col("width") / 60.0, F.col("height") / 41.0)).alias("mm_per_px"))
 
 
-@_query("S20_natural_order", "select name_id, cast(row_number() over (order by lpad(cast(name_id % 100 as varchar), 12, '0'), name_id) as int) as position from fx_names where name_id % 3 <> 0", "fx_names")
-def _s20(names):
-    from ..sources.readers import import_images
-
-    f = names.select("name_id", F.concat(F.lit("p"), (F.col("name_id") % 100).cast("string")).alias("base"), F.when(F.col("name_id") % 3 == 0, "image/gif").otherwise("image/png").alias("mime"))
-    d = import_images(f.select("name_id", F.concat("base", F.lit("_"), F.lpad(F.col("name_id").cast("string"), 12, "0")).alias("name"), "mime"))
-    return d.select("name_id", "position")
-
-
 @_query("X4_pair_ids", "select det_id, 'pair_p_' || substr(sha256('{\"namespace\":\"evidence_pair\",\"payload\":{\"evidence_ids\":[\"e' || least(det_id, 999999) || '\",\"f' || det_id || '\"],\"page_id\":\"p\"}}'), 1, 20) as pair_id from fx_detections where det_id < 999999", "fx_detections")
 def _x4(det):
     e, f = (F.concat(F.lit(k), F.col("det_id").cast("string")) for k in "ef")

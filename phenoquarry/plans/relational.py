@@ -28,7 +28,10 @@ def _query(name: str, sql: str, *needs: str):
     def add(fn):
         QUERIES[name] = lambda spark, sf_dir: fn(*(fixtures.load(spark, sf_dir, n) for n in needs))
         opening = fixtures.ctes(*needs)
-        ORACLE_SQL[name] = f"{opening}, {sql[5:]}" if sql.startswith("with ") else f"{opening} {sql}"
+        if sql.startswith("with recursive "):
+            ORACLE_SQL[name] = f"{opening.replace('with ', 'with recursive ', 1)}, {sql.removeprefix('with recursive ')}"
+        else:
+            ORACLE_SQL[name] = f"{opening}, {sql[5:]}" if sql.startswith("with ") else f"{opening} {sql}"
         return fn
 
     return add
@@ -623,18 +626,6 @@ def _c1(pages, results):
     return checks.orphans(results.select("result_id", "source_page_id"), pages.where("not demo"), {"source_page_id": "page_id"}).select("result_id")
 
 
-@_query("C5_C9_page_faults", "select page_id as key, concat_ws(',', case when not (width > 2000 and height > 0) then 'size' end, case when mm_per_px >= 0.1 then 'calibration' end) as faults from fx_source_pages where not (width > 2000 and height > 0) or mm_per_px >= 0.1", "fx_source_pages")
-def _c5(pages):
-    c = F.col
-    rules = {"size": (c("width") > 2000) & (c("height") > 0), "calibration": c("mm_per_px").isNull() | (c("mm_per_px") < 0.1)}
-    return checks.rule_faults(pages, "page_id", rules).select("key", F.array_join("faults", ",").alias("faults"))
-
-
-@_query("C7_detection_faults", "select cast(null as bigint) as key, '' as faults where false", "fx_detections")
-def _c7(det):
-    return checks.rule_faults(det, "det_id", checks.box_rules()).select("key", F.array_join("faults", ",").alias("faults"))
-
-
 @_query("A41_class_counts", "select page_id, count(*) as n, sum(case when class_id = 0 then 1 else 0 end)::bigint as n_awn, sum(case when class_id = 1 then 1 else 0 end)::bigint as n_spikelet, round(avg(confidence), 6) as mean_confidence from fx_detections group by page_id", "fx_detections")
 def _a41(det):
     return det.groupBy("page_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("class_id") == 0).alias("n_awn"), F.count_if(F.col("class_id") == 1).alias("n_spikelet"), _r(F.avg("confidence")).alias("mean_confidence"))

@@ -59,6 +59,96 @@ def write_stage(df: DataFrame, path: str, form: str = "parquet") -> None:
     df.write.mode("errorifexists").partitionBy("page_id").format(form).save(path)
 
 
+def read_stage(spark: SparkSession, path: str, schema: str, required: list[str], form: str = "json") -> DataFrame:
+    """A stage's result with its schema given, not inferred; rows without a required value are an error."""
+    d = spark.read.schema(schema).format(form).load(path)
+    missing = F.array_compact(F.array(*[F.when(F.col(c).isNull(), c) for c in required]))
+    _refuse(d.select("*", missing.alias("missing")).where(F.size("missing") > 0), "rows without required values")
+    return d
+
+
+def scan_tiles(predictions: DataFrame, least_confidence: float) -> DataFrame:
+    """Predictions of any model over tiles (page_id, tile: struct, confidence, class_id, x1..y2 within the tile) as observations.
+
+    Weak ones and those of unknown classes or empty boxes go; coordinates become the page's; `source_prediction_index` is
+    the place of a prediction among its tile's, counted before anything goes.
+    """
+    c = F.col
+    d = predictions.where((c("confidence") >= least_confidence) & c("class_id").isin(0, 1) & (c("x2") > c("x1")) & (c("y2") > c("y1")))
+    moved = [(c(k) + c(f"tile.{k[0]}1")).alias(k) for k in ("x1", "y1", "x2", "y2")]
+    name = F.when(c("class_id") == 1, "spikelet").otherwise("awn").alias("class_name")
+    return d.select("page_id", "tile_id", "source_prediction_index", "class_id", name, "confidence", *moved)
+
+
+def adapter_boxes(outputs: DataFrame, labels: dict[int, int], least_score: float, mask_threshold: float | None = None) -> DataFrame:
+    """Raw outputs (prediction_id, label, score, pixels: array of (x, y, p), and x1..y2 or nulls) as predictions.
+
+    Labels are mapped, unknown ones and scores under the least go. With a mask threshold the mask is the pixels at or over
+    it; a prediction without a box gets that of its mask (upper ends one further), and one without either goes.
+    """
+    pixels = F.col("pixels") if mask_threshold is None else F.filter("pixels", lambda q: q["p"] >= mask_threshold)
+    mapped = F.create_map(*[F.lit(v) for kv in labels.items() for v in kv])
+    d = outputs.select("*", F.try_element_at(mapped, F.col("label")).alias("class_id"), pixels.alias("held"))
+    d = d.where(F.col("class_id").isNotNull() & (F.col("score") >= least_score))
+    side = lambda pick, axis, more: pick(F.transform("held", lambda q: q[axis])) + more
+    boxes = {"x1": side(F.array_min, "x", 0), "y1": side(F.array_min, "y", 0), "x2": side(F.array_max, "x", 1), "y2": side(F.array_max, "y", 1)}
+    d = d.select("prediction_id", "class_id", "score", *[F.coalesce(F.col(k), v).cast("double").alias(k) for k, v in boxes.items()], F.size("held").alias("mask_px"))
+    return d.where("x1 is not null")
+
+
+def rings_of(records: DataFrame) -> DataFrame:
+    """Rows (id, rings: array of arrays of points) with the rings that enclose an area: three different points or more, not on a line."""
+    twice = lambda r: F.aggregate(F.sequence(F.lit(0), F.size(r) - 1), F.lit(0.0), lambda a, i: a + F.get(r, i)["x"] * F.get(r, (i + 1) % F.size(r))["y"] - F.get(r, (i + 1) % F.size(r))["x"] * F.get(r, i)["y"])
+    good = F.filter("rings", lambda r: F.when(F.size(r) >= 3, F.abs(twice(r)) > 1e-9).otherwise(False))
+    return records.withColumn("rings", good).where(F.size("rings") > 0)
+
+
+def verified_files(files: DataFrame, pinned: DataFrame) -> DataFrame:
+    """path, sha256, and state of files against pinned digests (path, sha256): verified, changed or unknown."""
+    d = files.join(pinned.select("path", F.col("sha256").alias("pin")), "path", "left")
+    state = F.when(F.col("pin").isNull(), "unknown").when(F.col("pin") == F.col("sha256"), "verified").otherwise("changed")
+    return d.select("path", "sha256", state.alias("state"))
+
+
+def closeout(representatives: DataFrame, spikelets: DataFrame) -> dict[str, DataFrame]:
+    """A run's last documents by page: representatives, diagnostics, summary, and the manifest with their digests.
+
+    representatives: page_id, spikelet_id, length_mm, status. Spikelets (page_id, spikelet_id) without one are diagnosed.
+    """
+    kept = representatives.select("page_id", "spikelet_id", "length_mm", "status")
+    lost = spikelets.join(kept, ["page_id", "spikelet_id"], "left_anti").select("page_id", "spikelet_id", F.lit("no_representative").alias("diagnosis"))
+    odd = kept.where("status <> 'ok'").select("page_id", "spikelet_id", F.col("status").alias("diagnosis"))
+    diagnostics = lost.unionByName(odd)
+    per = spikelets.groupBy("page_id").agg(F.count(F.lit(1)).alias("n_spikelets"))
+    mine = kept.groupBy("page_id").agg(F.count(F.lit(1)).alias("n_representatives"), F.sum("length_mm").alias("length_mm"))
+    bad = diagnostics.groupBy("page_id").agg(F.count(F.lit(1)).alias("n_diagnostics"))
+    zero = F.lit(0).cast("long")
+    summary = per.join(mine, "page_id", "left").join(bad, "page_id", "left").select("page_id", "n_spikelets", F.coalesce("n_representatives", zero).alias("n_representatives"), F.coalesce("n_diagnostics", zero).alias("n_diagnostics"), F.coalesce("length_mm", F.lit(0.0)).alias("length_mm"))
+    line = F.concat_ws("|", "spikelet_id", "status")
+    digest = F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256)
+    manifest = kept.groupBy("page_id").agg(digest.alias("representatives_sha256"))
+    return {"representatives": kept, "diagnostics": diagnostics, "summary": summary, "manifest": manifest}
+
+
+def page_payload(config: dict, predictions: DataFrame, merges: DataFrame) -> DataFrame:
+    """page_id and payload: a page's predictions, their counts by class, merge records and the run's settings as JSON."""
+    p = predictions.groupBy("page_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("class_name") == "awn").alias("n_awn"), F.array_sort(F.collect_list(F.struct("det_id", "class_name", "confidence"))).alias("predictions"))
+    m = merges.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("merged"))
+    d = p.join(m, "page_id", "left").withColumn("merged", F.coalesce("merged", F.array().cast("array<struct<a:bigint,b:bigint>>")))
+    counts = F.struct("n", "n_awn", (F.col("n") - F.col("n_awn")).alias("n_spikelet"), F.size("merged").alias("n_merged"))
+    settings = F.struct(*[F.lit(v).alias(k) for k, v in sorted(config.items())])
+    return d.select("page_id", F.to_json(F.struct(settings.alias("config"), counts.alias("counts"), "predictions", "merged"), {"ignoreNullFields": "false"}).alias("payload"))
+
+
+def html_report(rows: DataFrame, title: str) -> DataFrame:
+    """page_id and html: a table of rows (page_id, ordinal, cells: array of strings), escaped."""
+    safe = lambda c: F.replace(F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    line = F.concat(F.lit("<tr>"), F.array_join(F.transform("cells", lambda x: F.concat(F.lit("<td>"), safe(x), F.lit("</td>"))), ""), F.lit("</tr>"))
+    d = rows.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", line.alias("line")))).alias("lines"))
+    body = F.array_join(F.transform("lines", lambda x: x["line"]), "")
+    return d.select("page_id", F.concat(F.lit(f"<h1>{title}</h1><table>"), body, F.lit("</table>")).alias("html"))
+
+
 def adapt_predictions(records: DataFrame) -> DataFrame:
     """Rows (page_id, predictions: array of structs with confidence and rings) to observations that keep the record's own index.
 
