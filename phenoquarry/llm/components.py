@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def _minima(pairs: DataFrame) -> DataFrame:
@@ -39,5 +39,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
         seal = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
         if seal == was or not seal.n:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        was = seal
-        edges = materialize(_small_star(_large_star(edges)), "edges")
+        was, last = seal, edges
+        edges = materialize(_small_star(_large_star(last)), "edges")
+        discard(last)

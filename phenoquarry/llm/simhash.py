@@ -308,6 +308,6 @@ def keep_one(documents: DataFrame, bound: int = BOUND) -> DataFrame:
     """One document of each component, with all its columns: the least (doc_id, text digest); of rows that repeat both, one."""
     _, comps = _resolved(documents, bound)
     stays = comps.select(F.col("stays.doc_id").alias("s_id"), F.col("stays.key").alias("s_key")).distinct()
-    d = documents.withColumn("__key", text_key(F.col("text")))
-    kept = d.join(stays, d["doc_id"].eqNullSafe(stays["s_id"]) & (d["__key"] == stays["s_key"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__key"]).drop("__key")
+    d = documents.select(F.struct(*documents.columns).alias("row"), F.col("doc_id").alias("own"), text_key(F.col("text")).alias("digest"))
+    kept = d.join(stays, d["own"].eqNullSafe(stays["s_id"]) & (d["digest"] == stays["s_key"]), "left_semi")
+    return kept.dropDuplicates(["own", "digest"]).select(*[F.col(f"row.`{c}`").alias(c) for c in documents.columns])

@@ -9,7 +9,7 @@ ODD = [
     (9008, "line that is long enough to count\nline that is long enough to cOunt\nLicensed under the Apache License, Version 2.0.\nRELEASED under the MIT License", "en"),
     (9009, "line that is long enough to count\nline that is long enough too count", "en"), (9010, "word " * 30_000, "en"), (9011, "x" * 120, "en"), (9012, "x" * 49, "en"), (9013, "日本語の文章です。" * 20, "ja"),
 ]
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, n int, fp string, h long, w string, score double"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, n int, fp string, h long, w string, score double, __key string, row int"
 
 
 @pytest.fixture(scope="session")
@@ -21,7 +21,7 @@ def rows():
 @pytest.fixture(scope="session")
 def documents(spark, rows):
     """With extra columns whose names the operators use themselves."""
-    full = [(*r, "s", len(r[1] or ""), "k", 1, "f", 2, "w", 0.5) for r in rows]
+    full = [(*r, "s", len(r[1] or ""), "k", 1, "f", 2, "w", 0.5, "kk", 3) for r in rows]
     return spark.createDataFrame(full, SCHEMA).repartition(5).cache()
 
 
