@@ -13,7 +13,6 @@ from ..operators import clusters, growth, shapes, trajectories
 from ..operators.parts import row_kernel
 from .relational import _query, _r
 
-_D = F.col("det_id")
 
 
 def _turned(x: Column, y: Column, degrees: Column) -> Column:
@@ -23,9 +22,9 @@ def _turned(x: Column, y: Column, degrees: Column) -> Column:
 
 def _rectangle(det: DataFrame) -> DataFrame:
     """id, and a ring of 100 or more by 10 turned by a multiple of 15 degrees."""
-    w, h, t = 100.0 + _D % 9, F.lit(10.0), _D % 12 * 15
+    w, h, t = 100.0 + F.col("det_id") % 9, F.lit(10.0), F.col("det_id") % 12 * 15
     zero = F.lit(0.0)
-    return det.select(_D.alias("id"), F.array(*[_turned(x, y, t) for x, y in ((zero, zero), (w, zero), (w, h), (zero, h))]).alias("ring"))
+    return det.select(F.col("det_id").alias("id"), F.array(*[_turned(x, y, t) for x, y in ((zero, zero), (w, zero), (w, h), (zero, h))]).alias("ring"))
 
 
 _W, _T = "(100.0 + det_id % 9)", "radians((det_id % 12)*15)"
@@ -43,19 +42,19 @@ def _p18(det):
 
 @_query("P18_P28_notched_shapes", "select det_id as id, round(0.75*(20 + det_id % 7)*(30 + det_id % 5), 4) as area, round(0.75/0.875, 4) as solidity, 0.75 as extent, round(2*(50 + det_id % 7 + det_id % 5), 4) as perimeter from fx_detections", "fx_detections")
 def _notched(det):
-    w, h = 20.0 + _D % 7, 30.0 + _D % 5
+    w, h = 20.0 + F.col("det_id") % 7, 30.0 + F.col("det_id") % 5
     zero = F.lit(0.0)
     ring = F.array(*[point(x, y) for x, y in ((zero, zero), (w, zero), (w, h / 2), (w / 2, h / 2), (w / 2, h), (zero, h))])
-    d = shapes.shape_features(det.select(_D.alias("id"), ring.alias("ring")))
+    d = shapes.shape_features(det.select(F.col("det_id").alias("id"), ring.alias("ring")))
     return d.select("id", *[_r(c, 4).alias(c) for c in ("area", "solidity", "extent", "perimeter")])
 
 
 def _bent(det: DataFrame) -> DataFrame:
     """id, and a path that runs 20 or more up, then turns by a multiple of 10 degrees for as long."""
-    n, a = (20 + _D % 7 * 2).cast("int"), F.radians(_D % 10 * 10)
+    n, a = (20 + F.col("det_id") % 7 * 2).cast("int"), F.radians(F.col("det_id") % 10 * 10)
     up = F.transform(F.sequence(F.lit(0), n), lambda i: point(F.lit(0.0), -i.cast("double")))
     on = F.transform(F.sequence(F.lit(1), n), lambda i: point(i * F.sin(a), -n - i * F.cos(a)))
-    return det.select(_D.alias("id"), F.concat(up, on).alias("path"))
+    return det.select(F.col("det_id").alias("id"), F.concat(up, on).alias("path"))
 
 
 @_query("P9_P10_P16_P29_bent_paths", "select det_id as id, 2.0*(20 + det_id % 7*2) as length, case when det_id % 10 = 0 then 2 else 3 end as n_simplified, 0.0 as midpoint_x, -(20.0 + det_id % 7*2) as midpoint_y, (det_id % 10*10)::double as max_turn_deg from fx_detections", "fx_detections")
@@ -75,14 +74,14 @@ def _p17(det):
 
 def _square_based(det: DataFrame) -> DataFrame:
     """id, and the vertices of a lens: its ends lie on an axis turned by a multiple of 15 degrees."""
-    zero, t = F.lit(0.0), _D % 12 * 15
-    return det.select(_D.alias("id"), F.array(*[_turned(F.lit(x), F.lit(y), t) for x, y in ((-50.0, 0.0), (0.0, 5.0), (50.0, 0.0), (0.0, -5.0))]).alias("ring"), zero.alias("z")).drop("z")
+    zero, t = F.lit(0.0), F.col("det_id") % 12 * 15
+    return det.select(F.col("det_id").alias("id"), F.array(*[_turned(F.lit(x), F.lit(y), t) for x, y in ((-50.0, 0.0), (0.0, 5.0), (50.0, 0.0), (0.0, -5.0))]).alias("ring"), zero.alias("z")).drop("z")
 
 
 @_query("P19_endpoint_distances", "select det_id as id, (1 + det_id % 13)::double as gap from fx_detections", "fx_detections")
 def _p19(det):
     line = lambda start: F.transform(F.sequence(F.lit(0), F.lit(10)), lambda i: point(start + i, F.lit(0.0)))
-    d = det.select(_D.alias("id"), line(F.lit(0.0)).alias("a"), line(11.0 + _D % 13).alias("b"))
+    d = det.select(F.col("det_id").alias("id"), line(F.lit(0.0)).alias("a"), line(11.0 + F.col("det_id") % 13).alias("b"))
     return row_kernel(d, lambda i, a, b: (i, round(parts.endpoint_distance(a, b), 6)), "id long, gap double", ("a", "b"))
 
 
@@ -93,7 +92,7 @@ def _p24(det):
         rings = [clusters._ring(b) for b in boxes]
         return i, clusters._parts(boxes), round(clusters._width(rings, geometry.area_of(rings, None, "or")), 6)
 
-    return row_kernel(det.select(_D.alias("id"), (1 + _D % 5).cast("int").alias("n")), measure, "id long, n_parts int, width double")
+    return row_kernel(det.select(F.col("det_id").alias("id"), (1 + F.col("det_id") % 5).cast("int").alias("n")), measure, "id long, n_parts int, width double")
 
 
 @_query("A4_fusion_faults", "select det_id as id, concat_ws(',', case when det_id % 6 >= 3 then 'too_many_components' end, case when det_id % 6 >= 2 then 'area_inflation' end) as spikelet, case when det_id % 6 >= 3 then 'too_many_components' else '' end as awn from fx_detections", "fx_detections")
@@ -102,13 +101,13 @@ def _a4(det):
         apart = [clusters.UprightBox(20.0 * k, 0.0, 20.0 * k + 10, 2.0) for k in range(n)]
         return i, ",".join(clusters.fusion_faults(apart, "spikelet")), ",".join(clusters.fusion_faults(apart, "awn"))
 
-    return row_kernel(det.select(_D.alias("id"), (1 + _D % 6).cast("int").alias("n")), faults, "id long, spikelet string, awn string")
+    return row_kernel(det.select(F.col("det_id").alias("id"), (1 + F.col("det_id") % 6).cast("int").alias("n")), faults, "id long, spikelet string, awn string")
 
 
 def _bar(det: DataFrame) -> DataFrame:
     """id, and the ring of a bar one pixel high."""
-    w, zero = 5.0 + _D % 20, F.lit(0.0)
-    return det.select(_D.alias("id"), F.array(point(zero, zero), point(w, zero), point(w, F.lit(1.0)), point(zero, F.lit(1.0))).alias("ring"))
+    w, zero = 5.0 + F.col("det_id") % 20, F.lit(0.0)
+    return det.select(F.col("det_id").alias("id"), F.array(point(zero, zero), point(w, zero), point(w, F.lit(1.0)), point(zero, F.lit(1.0))).alias("ring"))
 
 
 @_query("P26_P27_skeleton_of_bars", "select det_id as id, 2 as endpoints, 0 as branches, (5 + det_id % 20)::int as n_points, (4.0 + det_id % 20) as length_px from fx_detections", "fx_detections")
@@ -126,7 +125,7 @@ def _a19(det):
         (where, mm), = parts.side_arms(mask, path, np.array([0.5, 0.5]), np.array([-1, -1]))
         return i, float(where[0]), float(where[1]), round(mm, 6)
 
-    d = det.select(_D.alias("id"), (10 + _D % 5).cast("int").alias("at"), (4 + _D % 6).cast("int").alias("reach"))
+    d = det.select(F.col("det_id").alias("id"), (10 + F.col("det_id") % 5).cast("int").alias("at"), (4 + F.col("det_id") % 6).cast("int").alias("reach"))
     return row_kernel(d, arms, "id long, x double, y double, reach_mm double")
 
 
@@ -141,7 +140,7 @@ def _s5(det):
         c = raster.mask_components(mask)
         return i, len(c), len(c[0][1]), len(c[1][1]), len(c[2][1]), c[0][2][2]
 
-    return row_kernel(det.select(_D.alias("id"), (5 + _D % 4).cast("int").alias("w")), found, "id long, n int, largest int, second int, island int, x2 double")
+    return row_kernel(det.select(F.col("det_id").alias("id"), (5 + F.col("det_id") % 4).cast("int").alias("w")), found, "id long, n int, largest int, second int, island int, x2 double")
 
 
 @_query("P31_points_at_mm", "select det_id as id, 0.0 as past, round(det_id % 40/2.0, 6) as up from fx_detections where det_id % 10 = 0", "fx_detections")
@@ -162,21 +161,21 @@ def _p32(det):
         at = np.array([(x2 + k, (y1 + y2) / 2), ((x1 + x2) / 2, y2 + k), (x2, y2)])
         return i, *(round(float(v), 6) for v in geometry.to_segments(at * scale, ring * scale, closed=True))
 
-    return row_kernel(det.select(_D.alias("id"), "x1", "y1", "x2", "y2"), gaps, "id long, right_mm double, below_mm double, on_edge double")
+    return row_kernel(det.select(F.col("det_id").alias("id"), "x1", "y1", "x2", "y2"), gaps, "id long, right_mm double, below_mm double, on_edge double")
 
 
 @_query("X1_axis_deviation", "select det_id as id, (det_id % 36*5)::double as deviation_deg from fx_detections", "fx_detections")
 def _x1(det):
     ring = F.array(*[point(F.lit(x), F.lit(y)) for x, y in ((0.0, 0.0), (4.0, 0.0), (4.0, 12.0), (0.0, 12.0))])
-    a = F.radians(_D % 36 * 5)
+    a = F.radians(F.col("det_id") % 36 * 5)
     path = F.transform(F.sequence(F.lit(0), F.lit(10)), lambda i: point(2.0 + i * F.sin(a), -(i * F.cos(a))))
-    return row_kernel(det.select(_D.alias("id"), path.alias("path"), ring.alias("ring")), lambda i, p, r: (i, round(parts.axis_deviation(p, r), 4)), "id long, deviation_deg double", ("path", "ring"))
+    return row_kernel(det.select(F.col("det_id").alias("id"), path.alias("path"), ring.alias("ring")), lambda i, p, r: (i, round(parts.axis_deviation(p, r), 4)), "id long, deviation_deg double", ("path", "ring"))
 
 
 @_query("X2_major_axes_mm", "select det_id as id, round(greatest((x2 - x1)*0.1, (y2 - y1)*0.03), 6) as major_mm from fx_detections", "fx_detections")
 def _x2(det):
     ring = F.array(*[point(F.col(x), F.col(y)) for x, y in (("x1", "y1"), ("x2", "y1"), ("x2", "y2"), ("x1", "y2"))])
-    return row_kernel(det.select(_D.alias("id"), ring.alias("ring")), lambda i, r: (i, round(geometry.rotated_rectangle(r * (0.1, 0.03))[0], 6)), "id long, major_mm double", ("ring",))
+    return row_kernel(det.select(F.col("det_id").alias("id"), ring.alias("ring")), lambda i, r: (i, round(geometry.rotated_rectangle(r * (0.1, 0.03))[0], 6)), "id long, major_mm double", ("ring",))
 
 
 @_query("X12_local_tangents", "select det_id as id, (det_id % 10*10)::double as turn_deg from fx_detections", "fx_detections")
@@ -196,7 +195,7 @@ def _a28(det):
         arms = [crossing.arm_directions(np.arange(12.0)[:, None] / 2 * [np.cos(np.radians(t)), np.sin(np.radians(t))]) for t in turns]
         return i, crossing.pair_arms(arms)[1]
 
-    return row_kernel(det.select(_D.alias("id")), pair, "id long, diagnostic string")
+    return row_kernel(det.select(F.col("det_id").alias("id")), pair, "id long, diagnostic string")
 
 
 @_query("J16_A28_crossing_routes", "select det_id as id, case when det_id % 5 = 4 then 'reject_ambiguous_crossing' when det_id % 90 between 21 and 69 then 'reject_ambiguous_entry' when det_id % 90 >= 70 then 'reject_wrong_exit' when det_id % 3 = 0 then 'accept_paired_exit' else 'reject_wrong_exit' end as verdict from fx_detections", "fx_detections")
@@ -208,7 +207,7 @@ def _j16(det):
         # The way comes in along the first arm, off by some degrees, and leaves by the second or the third.
         return i, parts.route([{"arms": arms, "pairing": pairing}], way(180 + i % 90), way(180 if i % 3 == 0 else 90), 20.0, 3.0)
 
-    return row_kernel(det.select(_D.alias("id")), verdict, "id long, verdict string")
+    return row_kernel(det.select(F.col("det_id").alias("id")), verdict, "id long, verdict string")
 
 
 @_query("A29_junction_clips", "select det_id as id, case when det_id % 10*10 > 55 then 'ambiguous_junction' end as stop, case when det_id % 10*10 > 55 then 21 + det_id % 7*2 else 2*(20 + det_id % 7*2) + 1 end::int as n from fx_detections", "fx_detections")
@@ -234,7 +233,7 @@ def _a34(det):
         path, run, applied = parts.hug_trim(np.concatenate([edge, away]), ring, 30.0)
         return i, run, applied, len(path)
 
-    return row_kernel(det.select(_D.alias("id")), trim, "id long, run_px double, applied boolean, n int")
+    return row_kernel(det.select(F.col("det_id").alias("id")), trim, "id long, run_px double, applied boolean, n int")
 
 
 _LIMITS = (40.0, 30.0, 30.0, 2.0)
@@ -248,7 +247,7 @@ def _j4(det):
         s = parts.best_join(a, b, _LIMITS)
         return i, None if s is None else round(s, 6)
 
-    return row_kernel(det.where("det_id % 50 > 0").select(_D.alias("id")), score, "id long, score double").where("score is not null")
+    return row_kernel(det.where("det_id % 50 > 0").select(F.col("det_id").alias("id")), score, "id long, score double").where("score is not null")
 
 
 @_query("A9_stitched_fragments", "select det_id as id, case when det_id % 60 <= 34 then 1 else 4 end::int as n, case when det_id % 60 <= 34 then 4 else 1 end::int as most from fx_detections where det_id % 60 > 0", "fx_detections")
@@ -259,7 +258,7 @@ def _a9(det):
         out = parts.stitch([parts.described(p, 4.0) for p in lines], _LIMITS, 0.64)
         return i, len(out), max(map(len, out))
 
-    return row_kernel(det.where("det_id % 60 > 0").select(_D.alias("id")), groups, "id long, n int, most int")
+    return row_kernel(det.where("det_id % 60 > 0").select(F.col("det_id").alias("id")), groups, "id long, n int, most int")
 
 
 @_query("A27_X6_single_branch", "select det_id as id, (1 + det_id % 5)::int as hops, (6.0*(2 + det_id % 5) + 0.5*(1 + det_id % 5)) as length_mm from fx_detections where class_id = 1", "fx_detections")
@@ -273,12 +272,12 @@ def _a27(det):
         (b,) = growth.compete([seed], pool, {0: 0})
         return i, len(b.steps), round(tr.length(b.path), 6)
 
-    return row_kernel(det.where("class_id = 1").select(_D.alias("id"), (2 + _D % 5).cast("int").alias("n")), grow, "id long, hops int, length_mm double")
+    return row_kernel(det.where("class_id = 1").select(F.col("det_id").alias("id"), (2 + F.col("det_id") % 5).cast("int").alias("n")), grow, "id long, hops int, length_mm double")
 
 
 @_query("F8_bridge_gate", "select det_id as id, det_id % 18*10 <= 60 or (1 + det_id % 4)/5.0 <= 0.35 as passes from fx_detections", "fx_detections")
 def _f8(det):
-    d = det.select(_D.alias("id"), ((1 + _D % 4) / 5).alias("gap"), (_D % 18 * 10).alias("bend"))
+    d = det.select(F.col("det_id").alias("id"), ((1 + F.col("det_id") % 4) / 5).alias("gap"), (F.col("det_id") % 18 * 10).alias("bend"))
 
     def gate(i, gap, bend):
         path = np.stack([np.zeros(11), -np.arange(11.0)], axis=1)

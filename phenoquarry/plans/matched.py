@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import fixtures
 from ..functions import identity
 from ..operators import cleanup, matching
-from .relational import _KNN, _query, _r
+from .relational import _KNN, QUERIES, _query, _r
 
 _IOU = "greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1))"
 _AREA = "({p}.x2 - {p}.x1)*({p}.y2 - {p}.y1)"
@@ -59,23 +60,12 @@ def _j2(det):
     return d.select("page_id", "class_name", "a", "b", _r("iou").alias("iou"), _r("overlap").alias("overlap"))
 
 
-@_query(
-    "A7_tile_merge_groups",
-    f"""with recursive p as (select a.page_id, a.class_name, a.det_id as a, b.det_id as b, {_IOU} as i, {_A} as aa, {_B} as ba, least(a.x2, b.x2) - greatest(a.x1, b.x1) as w, least(a.y2, b.y2) - greatest(a.y1, b.y1) as h,
-      greatest(a.tx1, b.tx1) as sx1, least(a.tx1, b.tx1) + 640 as sx2, greatest(a.ty1, b.ty1) as sy1, least(a.ty1, b.ty1) + 640 as sy2, a.x1 as ax1, a.y1 as ay1, a.x2 as ax2, a.y2 as ay2, b.x1 as bx1, b.y1 as by1, b.x2 as bx2, b.y2 as by2
-      from fx_detections a join fx_detections b on a.page_id = b.page_id and a.class_id = b.class_id and a.det_id < b.det_id and a.tile_id <> b.tile_id and {_TOUCH}),
-    q as (select *, (least(ax2, sx2) - greatest(ax1, sx1))*(least(ay2, sy2) - greatest(ay1, sy1)) as la, (least(bx2, sx2) - greatest(bx1, sx1))*(least(by2, sy2) - greatest(by1, sy1)) as lb,
-      greatest(0, least(ax2, bx2, sx2) - greatest(ax1, bx1, sx1))*greatest(0, least(ay2, by2, sy2) - greatest(ay1, by1, sy1)) as li from p where sx2 > sx1 and sy2 > sy1),
-    e as (select a, b from q where i >= 8 and i/least(aa, ba) >= 0.45 and la + lb - li > 0 and li/(la + lb - li) >= 0.35 and greatest(w, h) >= 24),
-    u as (select a, b from e union all select b, a from e),
-    r(det_id, root) as (select det_id, det_id from fx_detections union select u.b, r.root from r join u on u.a = r.det_id where u.b > r.root),
-    c as (select det_id, min(root) as root from r group by det_id)
-    select page_id, class_name, count(distinct root) as n_groups, max(n) as largest from (select d.page_id, d.class_name, c.root, count(*) over (partition by c.root) as n from c join fx_detections d on d.det_id = c.det_id) z group by page_id, class_name""",
-    "fx_detections",
-)
 def _a7(det):
     d = matching.merge_across_tiles(det)
-    return d.groupBy("page_id", "class_name").agg(F.count(F.lit(1)).alias("n_groups"), F.max(F.size("members")).cast("long").alias("largest"))
+    return d.select("page_id", "class_name", F.array_join(F.transform("members", lambda m: m.cast("string")), ",").alias("members"), "confidence")
+
+
+QUERIES["A7_tile_merge_groups"] = lambda spark, sf_dir: _a7(fixtures.load(spark, sf_dir, "fx_detections"))  # order-dependent: tested against plain Python
 
 
 @_query(
