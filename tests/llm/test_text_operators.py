@@ -144,6 +144,42 @@ def test_language(rows, documents):
     assert right / held > 0.9
 
 
+def test_language_vectors_and_prototypes(spark, rows):
+    """Letters, trigrams, documents, prototypes and cosines, one trigram at a time, without any of the encoder's tables."""
+    some = [r for r in rows if len(r[1] or "") < 3000][:150]
+
+    def vector(text):
+        if not any(c.isalpha() for c in text or ""):
+            return None
+        x = re.sub(r" +", " ", " " + "".join(c if c.isalpha() else " " for c in text.lower()) + " ")
+        out = np.zeros(langid.DIM)
+        for gram in zip(x, x[1:], x[2:]):
+            bound = np.ones(langid.DIM)
+            for place, c in enumerate(gram):
+                bound *= np.roll(langid._letters(np.array([ord(c)]))[0].astype(float), place)
+            out += bound
+        return out / max(np.linalg.norm(out), 1e-12)
+
+    vectors = [vector(t) for _, t, _ in some]
+    held = [i is not None and zlib.crc32(str(i).encode()) % 3 == 1 for i, _, _ in some]
+    langs = sorted({la for (_, t, la), v, h in zip(some, vectors, held) if la and t is not None and v is not None and not h})
+    sums = np.array([sum((v for (_, t, la), v, h in zip(some, vectors, held) if la == k and v is not None and not h), np.zeros(langid.DIM)) for k in langs])
+    protos = sums / np.linalg.norm(sums, axis=1, keepdims=True)
+    centred = protos - protos.mean(0)
+    centred /= np.linalg.norm(centred, axis=1, keepdims=True)
+    want = []
+    for (i, _, _), v, h in zip(some, vectors, held):
+        k = None if v is None else int(np.argmax(centred @ (v - protos.mean(0))))
+        want.append((i, h, "und" if k is None else langs[k], 0.0 if k is None else round(min(1, max(0, protos[k] @ v)), 4)))
+    got = langid.identify(spark.createDataFrame([r for r in some], "doc_id long, text string, lang string")).collect()
+    close = Counter((i, h, p) for i, h, p, _ in want)
+    assert Counter((r.doc_id, r.held_out, r.lang_pred) for r in got) == close
+    scores = defaultdict(list)
+    for i, _, p, s in want:
+        scores[(i, p)].append(s)
+    assert all(min(abs(r.score - s) for s in scores[(r.doc_id, r.lang_pred)]) < 1e-3 for r in got)
+
+
 def test_substrings(rows, documents):
     order = sorted(range(len(rows)), key=lambda k: -(1 << 63) if rows[k][0] is None else rows[k][0])
     first, want = {}, []
