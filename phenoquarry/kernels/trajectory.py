@@ -215,3 +215,15 @@ def clip_at_junction(current: np.ndarray, junctions: list[dict], r: Resolved, li
         out = angle(distal_tangent(current), continuation_tangent(suffix, suffix[0]))
         return Resolved(r.raw[: i + 1], r.path[: i + 1], r.entry, r.distance, out, float(current[-1][1] - suffix[:, 1].min()), max_turn(suffix), "ambiguous_junction", True)
     return r
+
+
+def choose(fused: Resolved | None, sources: list[tuple[str, Resolved]], most_lost: float = TANGENT) -> tuple[str | None, Resolved | None]:
+    """The way through a support by its fused path or that of one source (named): sources that end much lower don't count;
+    the straightest, then the smoothest, nearest and longest, then the first by name wins."""
+    top = lambda r: float(r.suffix[:, 1].min())
+    good = [(n, r) for n, r in sources if fused is None or top(r) - top(fused) <= most_lost]
+    if not good:
+        return (None, None) if fused is None else ("fused", fused)
+    key = lambda x: (999.0 if x[1].angle is None else x[1].angle, x[1].internal_turn, x[1].distance, -length(x[1].suffix), x[0])
+    name, best = min([*good, *([("", fused)] if fused else [])], key=key)
+    return ("fused" if best is fused else "source"), best

@@ -33,3 +33,15 @@ def row_kernel(df: DataFrame, fn: Callable[..., tuple], schema: str, paths: tupl
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, kind)], names=kind.names)
 
     return df.mapInArrow(run, schema)
+
+
+def guarded(fn: Callable[..., tuple], n_values: int) -> Callable[..., tuple]:
+    """fn with two values more, ok and error: a row that fails has nulls and its error, and the others go on."""
+
+    def run(*values) -> tuple:
+        try:
+            return (*fn(*values), True, None)
+        except Exception as e:  # noqa: BLE001 - one page's failure is a result
+            return (values[0], *[None] * (n_values - 1), False, f"{type(e).__name__}: {e}")
+
+    return run

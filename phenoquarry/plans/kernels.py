@@ -10,7 +10,7 @@ from ..functions.polyline import point
 from ..kernels import crossing, geometry, parts, raster
 from ..kernels import trajectory as tr
 from ..operators import clusters, growth, shapes, trajectories
-from ..operators.parts import row_kernel
+from ..operators.parts import guarded, row_kernel
 from .relational import _query, _r
 
 
@@ -294,3 +294,19 @@ def _x8(steps):
     d = steps.groupBy("spikelet_id").agg(F.to_json(F.struct(F.array_sort(F.collect_list(view)).alias("steps"))).alias("trace"))
     t = F.from_json("trace", "steps array<struct<hop:int,confidence:double,distance_mm:double,turn_deg:double>>")["steps"]
     return d.select("spikelet_id", F.size(t).cast("long").alias("n_hops"), F.size(F.filter(t, lambda s: s["confidence"] < 0.35)).cast("long").alias("n_weak"), F.array_max(F.transform(t, lambda s: s["turn_deg"])).alias("worst_turn"))
+
+
+@_query("P44_support_options", "select det_id as id, case when det_id % 4 <= 1 and det_id % 20 < 10 then 'source' else 'fused' end as origin, case when det_id % 4 <= 1 and det_id % 20 < 10 then det_id % 20 else 10 end::double as angle from fx_detections", "fx_detections")
+def _p44(det):
+    def choose(i):
+        way = lambda end, turn: tr.Resolved(*[np.array([(0.0, 0.0), (0.0, end)])] * 2, 0, 1.0, float(turn), -end, 0.0)
+        origin, best = tr.choose(way(-6.0, 10), [("e1", way(-6.0 + i % 4, i % 20))])
+        return i, origin, best.angle
+
+    return row_kernel(det.select(F.col("det_id").alias("id")), choose, "id long, origin string, angle double")
+
+
+@_query("X25_guarded_pages", "select det_id as id, case when det_id % 7 <> 0 then 1.0/(det_id % 7) end as value, det_id % 7 <> 0 as ok, case when det_id % 7 = 0 then 'ZeroDivisionError' end as error from fx_detections", "fx_detections")
+def _x25(det):
+    out = row_kernel(det.select(F.col("det_id").alias("id")), guarded(lambda i: (i, 1.0 / (i % 7)), 2), "id long, value double, ok boolean, error string")
+    return out.withColumn("error", F.regexp_extract("error", "^([A-Za-z]+)", 1)).withColumn("error", F.when(~F.col("ok"), F.col("error")))

@@ -147,3 +147,38 @@ def _a38(pages):
 def _x4(det):
     e, f = (F.concat(F.lit(k), F.col("det_id").cast("string")) for k in "ef")
     return det.where("det_id < 999999").select("det_id", identity.pair_id(F.lit("p"), f, e).alias("pair_id"))
+
+
+@_query(
+    "J3_dedupe_candidates",
+    f"""with p as (select a.det_id as a, b.det_id as b, a.tile_id <> b.tile_id as apart, {_IOU} as i, {_A} as aa, {_B} as ba, (a.x2 - a.x1 >= a.y2 - a.y1) = (b.x2 - b.x1 >= b.y2 - b.y1) as along from fx_detections a join fx_detections b on a.page_id = b.page_id and a.class_id = b.class_id and a.det_id < b.det_id and {_TOUCH})
+    select a, b, round(i/(aa + ba - i), 6) as iou, round(i/least(aa, ba), 6) as overlap from p where (i/(aa + ba - i) >= 0.45 or i/least(aa, ba) >= 0.62) and (apart or (along and i/least(aa, ba) >= 0.85))""",
+    "fx_detections",
+)
+def _j3(det):
+    d = matching.dedupe_candidates(det)
+    return d.select("a", "b", _r("iou").alias("iou"), _r("overlap").alias("overlap"))
+
+
+@_query(
+    "J6_compaction_candidates",
+    f"""with p as (select a.det_id as a, b.det_id as b, a.confidence as ac, b.confidence as bc, {_IOU} as i, {_A} as aa, {_B} as ba from fx_detections a join fx_detections b on a.page_id = b.page_id and a.class_id = 0 and b.class_id = 0 and a.det_id < b.det_id and {_TOUCH})
+    select case when (ac, aa, -a) > (bc, ba, -b) then a else b end as anchor, case when (ac, aa, -a) > (bc, ba, -b) then b else a end as other from p where least(aa, ba) >= 0.92*greatest(aa, ba) and i >= 0.92*greatest(aa, ba)""",
+    "fx_detections",
+)
+def _j6(det):
+    return matching.compaction_candidates(det.where("class_id = 0"))
+
+
+@_query(
+    "J14_X5_seed_discovery",
+    f"""with g as (select a.page_id, a.det_id as spikelet_id, b.det_id as support_id, case when b.y1 < a.y1 then 'direct' else 'projected' end as mode, round({_NEAR}*0.085, 9) as root, b.confidence, (b.y2 - b.y1)*0.085 as len
+      from fx_detections a join fx_detections b on a.class_id = 1 and b.class_id = 0 and a.page_id = b.page_id and {_NEAR} <= 2.8/0.085),
+    s as (select *, round(case when mode = 'direct' then 0 else 4 end + least(4, root) + 1.5*root/3 - 1.5*confidence - 0.1*least(30, len), 9) as score from g where len >= 0.35 and case when mode = 'direct' then root <= 2.8 else root/3 <= 1.2 end)
+    select page_id, spikelet_id, support_id, mode, round(score, 6) as seed_score from s qualify row_number() over (partition by spikelet_id order by score, len desc, confidence desc, support_id) <= 4""",
+    "fx_detections",
+)
+def _j14(det):
+    from .grouped import seeds_of
+
+    return seeds_of(det).select("page_id", "spikelet_id", "support_id", "mode", _r("seed_score").alias("seed_score"))

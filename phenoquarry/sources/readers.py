@@ -260,8 +260,13 @@ def detailed_header() -> str:
     return text.BOM + ",".join(f'"{h}"' for h in DETAILED_HEADER)
 
 
-def zip_pages(pages: DataFrame, path: str) -> int:
-    """An archive of the pages' CSV texts (ordinal, name, csv), one member each: for the pages that a person exports at once."""
+def zip_pages(pages: DataFrame, path: str, most: int = 10_000) -> int:
+    """An archive of the pages' CSV texts (ordinal, name, csv), one member each: for the pages that a person exports at once.
+
+    It is written where the driver runs, so more pages than `most` are refused.
+    """
+    if pages.limit(most + 1).count() > most:
+        raise ValueError(f"an export holds at most {most} pages")
     n = 0
     with zipfile.ZipFile(path, "w", zipfile.ZIP_STORED) as z:
         for row in pages.orderBy("ordinal").toLocalIterator():

@@ -11,9 +11,14 @@ from pyspark.sql.streaming import DataStreamWriter
 from ..sources.readers import SNAPSHOT
 
 
-def snapshot_stream(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
-    """Snapshot documents as they appear in a folder, each snapshot_id once in the stream's life."""
-    return spark.readStream.schema(SNAPSHOT).option("maxFilesPerTrigger", files_per_batch).json(path).dropDuplicates(["snapshot_id"])
+def snapshot_stream(spark: SparkSession, path: str, files_per_batch: int = 100, remember: str = "7 days") -> DataFrame:
+    """Snapshot documents as they appear in a folder; a snapshot_id that comes again within the remembered time is passed over.
+
+    Time is that of the files, so the state holds the ids of that long and no more, however long the stream runs.
+    """
+    docs = spark.readStream.schema(SNAPSHOT).option("maxFilesPerTrigger", files_per_batch).json(path)
+    docs = docs.select("*", F.col("_metadata.file_modification_time").alias("arrived_at"))
+    return docs.withWatermark("arrived_at", remember).dropDuplicatesWithinWatermark(["snapshot_id"]).drop("arrived_at")
 
 
 def process(stream: DataFrame, run: Callable[[DataFrame], DataFrame], target: str, checkpoint: str) -> DataStreamWriter:
