@@ -13,6 +13,7 @@ with another line emit variants, and only by deletions outside it.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import combinations, product
 
@@ -29,8 +30,8 @@ from .common import discard, materialize, small_enough, text_key
 EDITS, WORDS_PER_EDIT = 1, 8
 #: Rows up to which keys or repeated lines are broadcast (24 bytes each at most); beyond it they are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
-#: Text bytes that are parsed at once (a longer line is parsed whole), and keys of a bucket in which shared ones are sought.
-PIECE, BUCKET = 4 << 20, 2_000_000
+#: Text bytes that are parsed at once (a word is never cut), and keys of a bucket in which shared ones are sought.
+PIECE, BUCKET = 1 << 20, 2_000_000
 SAME, SHORTER, LONGER = 0, 1, 2
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -68,6 +69,9 @@ class _Sums:
         return (self.sums[hi] - self.sums[lo]) * _Sums._inverse[lo]
 
 
+_CUT = re.compile(rb"[\t\n\x0b\x0c\r ]")
+
+
 class Lines:
     """The lines that say anything of pieces of text: doc, n, first (word), m (words), id1, id2; and all words' hashes."""
 
@@ -76,17 +80,14 @@ class Lines:
         with np.errstate(over="ignore"):
             self.data = b"\n".join([*(p[2] for p in pieces), b""])
             b = np.frombuffer(self.data, np.uint8)
-            word = np.append(True, _BLANK[b])
-            edge = np.flatnonzero(word[1:] != word[:-1])
-            self.start, self.end = edge[::2], edge[1::2]
-            self.words = _mix(_Sums(_BYTES[b]).of(self.start, self.end))
+            self._find_words(b)
             stop = np.flatnonzero(b == 10)
             begin = np.append(0, stop[:-1] + 1) if len(stop) else stop
             first, last = np.searchsorted(self.start, begin), np.searchsorted(self.start, stop)
-            says = np.append(0, np.cumsum(_SAYS[b]))
             sizes = np.array([len(p[2]) + 1 for p in pieces])
             piece = np.searchsorted(np.cumsum(sizes), stop, "right")
-            kept = says[stop] > says[begin]
+            said = np.append(0, np.cumsum(self.says))
+            kept = said[last] > said[first]
             starts = np.searchsorted(begin, np.cumsum(sizes) - sizes)
             n = np.arange(len(stop)) - starts[piece] + np.array([p[1] for p in pieces])[piece]
             self.doc, self.n = np.array([p[0] for p in pieces])[piece][kept], n[kept].astype(np.int32)
@@ -95,15 +96,39 @@ class Lines:
             self.id1 = _mix(self.sums.of(self.first, self.first + self.m) + self.m.astype(np.uint64) * _U(_BASE))
             self.id2 = _mix(_Sums(_mix(self.words + _U(1))).of(self.first, self.first + self.m) ^ self.m.astype(np.uint64))
 
+    def _find_words(self, b: np.ndarray) -> None:
+        """start, end, hash and whether it holds a letter or digit of every word, some bytes at a time, cut at blanks."""
+        starts, ends, words, says, at = [], [], [], [], 0
+        while at < len(b):
+            found = _CUT.search(self.data, at + PIECE) if at + PIECE < len(b) else None
+            to = found.start() + 1 if found else len(b)
+            part = b[at:to]
+            edge = np.flatnonzero(np.diff(np.append(True, _BLANK[part])))
+            s, e = edge[::2], edge[1::2]
+            saying = np.append(0, np.cumsum(_SAYS[part], dtype=np.int32))
+            starts.append(s + at)
+            ends.append(e + at)
+            words.append(_mix(_Sums(_BYTES[part]).of(s, e)))
+            says.append(saying[e] > saying[s])
+            at = to
+        none = np.zeros(0, np.int64)
+        self.start, self.end = (np.concatenate(x) if x else none for x in (starts, ends))
+        self.words, self.says = np.concatenate(words) if words else none.astype(np.uint64), np.concatenate(says) if says else none.astype(bool)
+
     def text(self, i: int) -> str:
         """The line's words, single blanks between them."""
         a, e = self.first[i], self.first[i] + self.m[i]
         return " ".join(self.data[s:t].decode("utf-8", "surrogatepass") for s, t in zip(self.start[a:e], self.end[a:e]))
 
 
+def _texts(b: pa.RecordBatch, step: int = 256) -> Iterator[tuple[int, str | None]]:
+    for at in range(0, b.num_rows, step):
+        yield from enumerate(b.column("text").slice(at, step).to_pylist(), at)
+
+
 def _parsed(b: pa.RecordBatch) -> Iterator[Lines]:
     pieces, held = [], 0
-    for i, text in enumerate(b.column("text").to_pylist()):
+    for i, text in _texts(b):
         data, n = (text or "").encode("utf-8", "surrogatepass"), 0
         while True:
             cut = data.find(b"\n", PIECE) if len(data) > PIECE else -1

@@ -62,8 +62,7 @@ def test_generated_lines(spark, monkeypatch, edits, broadcast):
     assert sorted(map(str, ((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in got.collect()))) == sorted(map(str, want))
 
 
-def test_odd_rows(rows, documents, monkeypatch):
-    monkeypatch.setattr(L, "PIECE", 500)
+def test_odd_rows(rows, documents):
     some = [r for r in rows if len(r[1] or "") < 100_000]
     want, _ = plain(some, 1)
     got = L.dedup_lines(documents.where("text is null or length(text) < 100000"))
@@ -71,6 +70,22 @@ def test_odd_rows(rows, documents, monkeypatch):
     assert L.dedup_lines(documents.limit(0)).count() == 0
 
 
+def test_parsing_in_parts(monkeypatch):
+    """Words, lines and their numbers don't depend on how many bytes are parsed at once."""
+    rng = random.Random(2)
+    texts = ["".join(rng.choice(["a", "bb", "é", " ", "  ", "\n", "\t", "-", "9", "\r"]) for _ in range(rng.randrange(300))) for _ in range(60)] + ["", "x" * 500, "y " * 300, "\n\n", None]
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    every = lambda: [(d, n, i, j, x.text(k)) for x in L._parsed(batch) for k, (d, n, i, j) in enumerate(zip(x.doc.tolist(), x.n.tolist(), x.id1.tolist(), x.id2.tolist()))]
+    whole = every()
+    assert {(d, n, t) for d, n, _, _, t in whole} == {(d, n, " ".join(line.split())) for d, t in enumerate(texts) for n, line in enumerate((t or "").split("\n")) if any(ord(c) > 127 or c.isalnum() for c in line)}
+    assert len({t for *_, t in whole}) == len({(i, j) for _, _, i, j, _ in whole})
+    for piece in (1, 7, 64):
+        monkeypatch.setattr(L, "PIECE", piece)
+        assert every() == whole
+
+
 def test_distance():
     assert L.word_distance(list("kitten"), list("sitting"), 3) == 3 and L.word_distance(list("kitten"), list("sitting"), 2) == 3
     with pytest.raises(ValueError):
