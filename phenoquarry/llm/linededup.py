@@ -408,18 +408,19 @@ def _near(documents: DataFrame, edits: int, n_lines: int) -> DataFrame:
         alive = every.groupBy("doc_id", "key", "n", "id1", "id2").agg(F.first("line").alias("line"), F.collect_list("m").alias("meets"))
     alive = alive.select(F.struct("doc_id", "key", "n").alias("at"), "id1", "id2", F.struct("line", "meets").alias("x"))
     alive = materialize(alive.groupBy("id1", "id2").agg(F.min("at").alias("at"), F.first("x").alias("x")).select("at", "id1", "id2", "x.line", "x.meets"), "alive")
-    rows = materialize(alive.select("line", "id1", "meets").mapInArrow(_varier, "v long, side int, id1 long"), "variants")
+    every = materialize(alive.select("line", "id1", "meets").mapInArrow(_varier, "v long, side int, id1 long"), "variants")
 
     # Variants that meet are few; only theirs get their lines' places again.
-    met = materialize(rows.groupBy("v").agg(F.min("id1").alias("x"), F.max("id1").alias("y")).where("x <> y").select("v"), "met")
-    rows = rows.join(_sized(met), "v", "left_semi").join(alive.select("at", "id1", "id2", "line"), "id1")
+    met = materialize(every.groupBy("v").agg(F.min("id1").alias("x"), F.max("id1").alias("y")).where("x <> y").select("v"), "met")
+    rows = every.join(_sized(met), "v", "left_semi").join(alive.select("at", "id1", "id2", "line"), "id1")
     rows = materialize(rows.select("v", "side", F.struct("at", "id1", "id2", "line").alias("me")), "meeting")
+    discard(every, met, shared)
     least = rows.groupBy("v").agg(*[F.min(F.when(F.col("side") == s, F.col("me"))).alias(f"m{s}") for s in (SAME, SHORTER, LONGER)])
     partner = F.when(F.col("side") == SAME, F.col("m0")).when(F.col("side") == SHORTER, F.col("m2")).otherwise(F.col("m1"))
     pairs = rows.join(least, "v").select("me.*", partner.alias("q")).where(F.col("q.at") < F.col("at"))
     pairs = pairs.groupBy("id1", "id2", F.col("q.id1").alias("o1"), F.col("q.id2").alias("o2")).agg(F.first("line").alias("line"), F.first("q.line").alias("other"))
     out = materialize(pairs.select("id1", "id2", "line", "other").mapInArrow(_verifier(edits), "id1 long, id2 long").distinct(), "near")
-    discard(shared, alive, met, rows)
+    discard(alive, rows)
     return out
 
 
