@@ -310,3 +310,101 @@ def _p44(det):
 def _x25(det):
     out = row_kernel(det.select(F.col("det_id").alias("id")), guarded(lambda i: (i, 1.0 / (i % 7)), 2), "id long, value double, ok boolean, error string")
     return out.withColumn("error", F.regexp_extract("error", "^([A-Za-z]+)", 1)).withColumn("error", F.when(~F.col("ok"), F.col("error")))
+
+
+# Scenes with known outcomes: each spikelet stands 100 mm from the next one on its page ---------------------------------
+
+
+_XY = "array<struct<x:double,y:double>>"
+_NO_JUNCTIONS = "array<struct<raw_point:struct<x:double,y:double>,off_path_reach_mm:double>>"
+
+
+def _spikelets(det: DataFrame) -> DataFrame:
+    return det.where("class_id = 1").select("page_id", F.col("det_id").alias("spikelet_id"), (F.col("det_id") % 200 * 100.0).alias("at"), F.col("det_id").alias("k"))
+
+
+def _chains(det: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Supports of 6 mm one above the other, 0.5 mm apart, two to four for a spikelet; the lowest is its seed."""
+    s = _spikelets(det)
+    each = s.select("*", F.explode(F.sequence(F.lit(0), (1 + F.col("k") % 3).cast("int"))).alias("n"))
+    path = F.transform(F.sequence(F.lit(0), F.lit(6)), lambda i: point(F.col("at"), -(F.col("n") * 6.5) - i))
+    supports = each.select("page_id", (F.col("k") * 10 + F.col("n")).alias("support_id"), path.alias("path"), F.lit(0.9).alias("confidence"), F.array(F.lit("t")).alias("prediction_keys"), F.array().cast(_NO_JUNCTIONS).alias("junctions"))
+    supports = supports.withColumn("raw", F.transform("path", lambda p: point(p["x"] * 10, p["y"] * 10)))
+    return supports, s.select("page_id", "spikelet_id", (F.col("k") * 10).alias("support_id"), F.lit(0.0).alias("seed_score"), F.lit(6.0).alias("length_mm"))
+
+
+_HOPS = "(1 + det_id % 3)"
+
+
+@_query("A23_A24_A25_chains", f"select det_id as spikelet_id, {_HOPS}::int as growth_hops, round(6.0*({_HOPS} + 1) + 0.5*{_HOPS}, 6) as length_mm, round(6.0*({_HOPS} + 1) + 0.5*{_HOPS} + 0.625*{_HOPS}, 6) as branch_score, {_HOPS}::int + 1 as n_supports from fx_detections where class_id = 1", "fx_detections")
+def _chained(det):
+    d = growth.grow(*_chains(det)).where("place = 1")
+    return d.select("spikelet_id", "growth_hops", _r("length_mm_internal").alias("length_mm"), _r("branch_score").alias("branch_score"), F.size("support_ids").alias("n_supports"))
+
+
+@_query("A30_chain_summary", f"select page_id, count(*) as n, sum({_HOPS})::bigint as hops, round(sum(6.0*({_HOPS} + 1) + 0.5*{_HOPS}), 4) as length_mm from fx_detections where class_id = 1 group by page_id", "fx_detections")
+def _chain_summary(det):
+    d = growth.grow(*_chains(det)).where("place = 1")
+    return d.groupBy("page_id").agg(F.count(F.lit(1)).alias("n"), F.sum("growth_hops").alias("hops"), _r(F.sum("length_mm_internal"), 4).alias("length_mm"))
+
+
+@_query("J17_bodies_in_the_way", f"select det_id as spikelet_id, case when det_id % 2 = 0 then 1 else {_HOPS} end::int as growth_hops, case when det_id % 2 = 0 then 7.5 else round(6.0*({_HOPS} + 1) + 0.5*{_HOPS}, 6) end as length_mm, case when det_id % 2 = 0 then 'foreign_spikelet_body' end as stop from fx_detections where class_id = 1", "fx_detections")
+def _in_the_way(det):
+    at = F.col("at")
+    ring = F.array(*[point(at + x, F.lit(y)) for x, y in ((-1.0, -9.0), (1.0, -9.0), (1.0, -8.0), (-1.0, -8.0))])
+    bodies = _spikelets(det).where("k % 2 = 0").select("page_id", (F.col("k") + 1000000000).alias("spikelet_id"), ring.alias("ring"))
+    d = growth.grow(*_chains(det), bodies=bodies).where("place = 1")
+    return d.select("spikelet_id", "growth_hops", _r("length_mm_internal").alias("length_mm"), "stop")
+
+
+@_query("A22_F6_grouped_starts", "select det_id as spikelet_id, 3 + det_id % 2 as n, 2::bigint as n_groups, 2 + det_id % 2*2 as n_selectable from fx_detections where class_id = 1", "fx_detections")
+def _starts(det):
+    s = _spikelets(det).select("*", F.explode(F.sequence(F.lit(0), (2 + F.col("k") % 2).cast("int"))).alias("n"))
+    far = F.col("n") >= 2
+    x = F.col("at") + F.when(far, 5.0).otherwise(0.0) + F.col("n") % 2 * 0.1
+    path = F.transform(F.sequence(F.lit(0), F.lit(10)), lambda i: point(x, -i.cast("double")))
+    d = s.select("spikelet_id", (F.col("k") * 10 + F.col("n")).alias("support_id"), F.when(far, "projected").otherwise("direct").alias("mode"), F.when(far, 3.0).otherwise(1.0).alias("root_distance_mm"), F.lit(0.4).alias("confidence"), path.alias("path"))
+    return clusters.group_seeds(d).groupBy("spikelet_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("group_id").alias("n_groups"), F.count_if("selectable").alias("n_selectable"))
+
+
+@_query("A2_A3_A5_twins", "select page_id, count(*) as n_fused, count(*) as n_single, round(sum(1100.0), 4) as fused_area from fx_detections where class_id = 1 group by page_id", "fx_detections")
+def _twins(det):
+    """For each spikelet an awn that two tiles saw one pixel apart, and one that stands alone."""
+    from ..operators import pairs
+
+    s = _spikelets(det).select("*", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("n"))
+    x = F.col("at") + F.element_at(F.array(F.lit(0.0), F.lit(1.0), F.lit(40.0)), F.col("n") + 1)
+    d = s.select("page_id", F.lit(0).alias("class_id"), F.lit("awn").alias("class_name"), (F.col("k") * 10 + F.col("n")).alias("det_id"), F.col("n").alias("tile_id"), F.lit(0.8).alias("confidence"),
+                 (F.col("at") - 100).alias("tx1"), F.lit(-100.0).alias("ty1"), x.alias("x1"), F.lit(0.0).alias("y1"), (x + 10).alias("x2"), F.lit(100.0).alias("y2"))
+    out = clusters.reconcile(d, pairs.classify(pairs.candidate_pairs(d)))
+    fused = F.col("status") == "fused"
+    return out.groupBy("page_id").agg(F.count_if(fused & (F.size("members") == 2)).alias("n_fused"), F.count_if(F.col("status") == "singleton").alias("n_single"), _r(F.sum(F.when(fused, F.col("area"))), 4).alias("fused_area"))
+
+
+@_query("P42_P43_J15_straight_continuations", "select det_id as id, 0 as entry, det_id % 2 = 1 as reversed, (1 + det_id % 5)/4.0 as distance, 0.0 as angle, 7 + (1 + det_id % 5)/4.0 as extension, 0.0 as internal_turn from fx_detections", "fx_detections")
+def _straight(det):
+    k = F.col("det_id")
+    line = lambda lo, n: F.transform(F.sequence(F.lit(0), F.lit(n)), lambda i: point(F.lit(0.0), lo - i))
+    on = line(-10.0 - (1 + k % 5) / 4, 7)
+    d = trajectories.resolve_pairs(det.select(k.alias("id"), line(F.lit(0.0), 10).alias("current"), F.when(k % 2 == 1, F.reverse(on)).otherwise(on).alias("support")))
+    return d.select("id", "entry", "reversed", *[(_r(c, 4) + 0.0).alias(c) for c in ("distance", "angle", "extension", "internal_turn")])
+
+
+@_query("A32_straight_roots", "select det_id as spikelet_id, 'trimmed_to_stable_spikelet_exit' as status, round((10 + det_id % 7 + 1)*0.1, 4) as removed_mm, round(20 - (10 + det_id % 7 + 1)*0.1, 4) as length_mm from fx_detections where class_id = 1", "fx_detections")
+def _straight_roots(det):
+    """Paths of 20 mm that start inside a spikelet, 10 pixels or more below its top (a pixel is 0.1 mm, the tolerance one pixel)."""
+    from ..operators import roots
+
+    s, at = _spikelets(det), F.col("at")
+    ring = F.array(*[point(at + x, F.lit(0.0) + y) for x, y in ((-20.0, -10.0 - F.col("k") % 7), (20.0, -10.0 - F.col("k") % 7), (20.0, F.lit(40.0)), (-20.0, F.lit(40.0)))])
+    path = F.transform(F.sequence(F.lit(0), F.lit(20)), lambda i: point(at, -10.0 * i))
+    d = roots.normalize_roots(s.select("page_id", "spikelet_id", path.alias("raw_path"), ring.alias("ring"), F.lit(50.0).alias("x_period"), F.lit(50.0).alias("y_period")))
+    return d.select("spikelet_id", "status", _r("removed_mm", 4).alias("removed_mm"), _r("length_mm_root_normalized", 4).alias("length_mm"))
+
+
+@_query("O4_grid_order", "select page_id, det_id, cast(row_number() over (partition by page_id order by floor((det_id % 200)/40), (det_id % 40)*7 % 40, det_id) as int) as position from fx_detections", "fx_detections")
+def _grid_order(det):
+    """Boxes of one size on a grid, row by row; within a row their places are shuffled."""
+    k = F.col("det_id")
+    x, y = (k % 40 * 7 % 40) * 50.0, F.floor(k % 200 / 40) * 100.0 + k % 3
+    return shapes.reading_order(det.select("page_id", "det_id", x.alias("x1"), y.alias("y1"), (x + 20).alias("x2"), (y + 30).alias("y2")))
