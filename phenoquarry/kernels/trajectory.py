@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,7 +14,11 @@ CHUNK, TANGENT, TRIM, FIT, PCA_SPANS, TURN_SPAN, WINDOW, RECENT, COVERED = 2.0,
 
 
 def arcs(p: np.ndarray) -> np.ndarray:
-    return np.append(0.0, np.cumsum(np.hypot(*np.diff(p, axis=0).T))) if len(p) > 1 else np.zeros(len(p))
+    out = np.zeros(len(p))
+    if len(p) > 1:
+        d = p[1:] - p[:-1]
+        np.cumsum(np.hypot(d[:, 0], d[:, 1]), out=out[1:])
+    return out
 
 
 def length(p: np.ndarray) -> float:
@@ -24,10 +29,11 @@ def angle(a, b) -> float | None:
     """Directed, in degrees; None for a vector of no length."""
     if a is None or b is None:
         return None
-    n = float(np.hypot(*a) * np.hypot(*b))
-    if min(np.hypot(*a), np.hypot(*b)) <= 1e-9:
+    (ax, ay), (bx, by) = a, b
+    m, n = math.hypot(ax, ay), math.hypot(bx, by)
+    if min(m, n) <= 1e-9:
         return None
-    return float(np.degrees(np.arccos(np.clip(np.dot(a, b) / n, -1, 1))))
+    return math.degrees(math.acos(max(-1.0, min(1.0, (ax * bx + ay * by) / (m * n)))))
 
 
 def _reach(s: np.ndarray, i: int, span: float) -> int:
@@ -62,10 +68,12 @@ def direction(p: np.ndarray) -> np.ndarray | None:
     """First principal direction, pointing from the first to the last point."""
     if len(p) < 2:
         return None
-    c = p - p.mean(0)
-    if np.linalg.norm(c) <= 1e-12:
+    x, y = (p - p.sum(0) / len(p)).T
+    xx, yy, xy = float(x @ x), float(y @ y), float(x @ y)
+    if xx + yy <= 1e-24:
         return None
-    v = np.linalg.svd(c, full_matrices=False)[2][0]
+    t = 0.5 * math.atan2(2 * xy, xx - yy)  # the covariance's first axis
+    v = np.array([math.cos(t), math.sin(t)])
     return -v if v @ (p[-1] - p[0]) < 0 else v
 
 
