@@ -30,8 +30,8 @@ from .common import discard, materialize, small_enough, text_key
 EDITS, WORDS_PER_EDIT = 1, 8
 #: Rows up to which keys or repeated lines are broadcast (24 bytes each at most); beyond it they are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
-#: Text bytes that are parsed at once (a word is never cut), and keys of a bucket in which shared ones are sought.
-PIECE, BUCKET = 1 << 20, 2_000_000
+#: Text bytes that are parsed at once (a word is never cut).
+PIECE = 1 << 20
 SAME, SHORTER, LONGER = 0, 1, 2
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -187,46 +187,52 @@ def _segment_keys(x: Lines, edits: int) -> Iterator[tuple[int, int, int, tuple,
                 yield d, longer, side, place, at, _mix(key)
 
 
-LINE = "n int, id1 long, id2 long"
+#: Rows of lines (place and id), and rows of segment keys for a bucket (keys and ids, eight bytes each): one reading makes both.
+PARSED = "n int, id1 long, id2 long, bucket int, ks binary, ids binary"
 
 
-def _liner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for x in _parsed(b):
-            doc = pa.array(x.doc, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(doc), b.column("key").take(doc), pa.array(x.n), pa.array(x.id1.view(np.int64)), pa.array(x.id2.view(np.int64))], ["doc_id", "key", "n", "id1", "id2"])
-
+def _packed(k: np.ndarray, i: np.ndarray, buckets: int) -> tuple[np.ndarray, list[bytes], list[bytes]]:
+    """Keys and ids by bucket; of a key two lines at most, so that a hot one is small from every task."""
+    order = np.lexsort((i, k))
+    k, i = k[order], i[order]
+    new = np.append(True, k[1:] != k[:-1])
+    last = np.append(new[1:], True)
+    kept = new | (last & (i != i[np.flatnonzero(new)[np.cumsum(new) - 1]]))
+    k, i = k[kept], i[kept]
+    of = (k % _U(buckets)).astype(np.int32)
+    order = np.argsort(of, kind="stable")
+    k, i, of = k[order], i[order], of[order]
+    edge = np.append(0, np.flatnonzero(np.diff(of)) + 1)
+    ends = np.append(edge[1:], len(of))
+    return of[edge], *([x[a:e].tobytes() for a, e in zip(edge, ends)] for x in (k, i))
+
+
+def _parser(edits: int, buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ks, ids, held, kind = [], [], 0, None
 
-def _keyer(edits: int, buckets: int):
-    def packed(k: np.ndarray, i: np.ndarray) -> pa.RecordBatch:
-        order = np.lexsort((i, k))
-        k, i = k[order], i[order]
-        new = np.append(True, k[1:] != k[:-1])
-        last = np.append(new[1:], True)
-        kept = new | (last & (i != i[np.flatnonzero(new)[np.cumsum(new) - 1]]))  # of a key two lines at most
-        k, i = k[kept], i[kept]
-        of = (k % _U(buckets)).astype(np.int32)
-        order = np.argsort(of, kind="stable")
-        k, i, of = k[order], i[order], of[order]
-        edge = np.append(0, np.flatnonzero(np.diff(of)) + 1) if len(of) else np.zeros(0, np.int64)
-        ends = np.append(edge[1:], len(of))
-        cols = [[x[a:e].tobytes() for a, e in zip(edge, ends)] for x in (k, i)]
-        return pa.RecordBatch.from_arrays([pa.array(of[edge]), *(pa.array(c, pa.binary()) for c in cols)], ["bucket", "ks", "ids"])
+        def keys() -> pa.RecordBatch:
+            of, k, i = _packed(np.concatenate(ks), np.concatenate(ids), buckets)
+            absent = [pa.nulls(len(of), t) for t in (kind, pa.string(), pa.int32(), pa.int64(), pa.int64())]
+            return pa.RecordBatch.from_arrays([*absent, pa.array(of), pa.array(k, pa.binary()), pa.array(i, pa.binary())], names)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ks, ids, held = [], [], 0
+        names = ["doc_id", "key", "n", "id1", "id2", "bucket", "ks", "ids"]
         with np.errstate(over="ignore"):
             for b in batches:
+                kind = b.column("doc_id").type
                 for x in _parsed(b):
+                    doc, n = pa.array(x.doc, pa.int64()), len(x.doc)
+                    absent = [pa.nulls(n, t) for t in (pa.int32(), pa.binary(), pa.binary())]
+                    yield pa.RecordBatch.from_arrays([b.column("doc_id").take(doc), b.column("key").take(doc), pa.array(x.n), pa.array(x.id1.view(np.int64)), pa.array(x.id2.view(np.int64)), *absent], names)
                     for *_, at, key in _segment_keys(x, edits):
                         ks.append(key)
                         ids.append(x.id1[at])
                         held += len(at)
                     if held > 500_000:
-                        yield packed(np.concatenate(ks), np.concatenate(ids))
+                        yield keys()
                         ks, ids, held = [], [], 0
             if held:
-                yield packed(np.concatenate(ks), np.concatenate(ids))
+                yield keys()
 
     return run
 
@@ -240,12 +246,6 @@ def _sharing(t: pa.Table) -> pa.Table:
     return pa.table({"k": pa.array(np.unique(k[1:][both]).view(np.int64))})
 
 
-def _shared_keys(documents: DataFrame, edits: int, n_lines: int) -> DataFrame:
-    buckets = max(32, n_lines * 4 * edits * edits // BUCKET)
-    keys = documents.mapInArrow(_keyer(edits, buckets), "bucket int, ks binary, ids binary")
-    return materialize(keys.groupBy("bucket").applyInArrow(_sharing, "k long"), "segments")
-
-
 #: Lines with shared segments: n, ids, the words, and for each shared segment its key, side, how much longer, and runs.
 ALIVE = "n int, id1 long, id2 long, line string, meets array<struct<k:long,d:int,longer:int,side:int,runs:array<int>>>"
 _MEETS = pa.list_(pa.struct([("k", pa.int64()), ("d", pa.int32()), ("longer", pa.int32()), ("side", pa.int32()), ("runs", pa.list_(pa.int32()))]))
@@ -394,11 +394,11 @@ def _sized(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if small_enough(df, BROADCAST_ROWS) else df
 
 
-def _near(documents: DataFrame, edits: int, n_lines: int) -> DataFrame:
-    """id1, id2 of distinct lines near an earlier one."""
+def _near(documents: DataFrame, keys: DataFrame, edits: int) -> DataFrame:
+    """id1, id2 of distinct lines near an earlier one; keys: bucket, ks, ids of the lines' segments."""
     spark, head = documents.sparkSession, documents.schema["doc_id"]
     rest = lambda ddl: T.StructType([head, T.StructField("key", T.StringType()), *T.StructType.fromDDL(ddl)])
-    shared = _shared_keys(documents, edits, n_lines)
+    shared = materialize(keys.groupBy("bucket").applyInArrow(_sharing, "k long"), "segments")
     if small_enough(shared, BROADCAST_ROWS):
         known = spark.sparkContext.broadcast(np.sort(np.array([r.k for r in shared.collect()], np.int64)))
         alive = documents.mapInArrow(_reviver(edits, known), rest(ALIVE))
@@ -433,18 +433,20 @@ def dropped_lines(documents: DataFrame, edits: int = EDITS) -> DataFrame:
     if edits not in (0, 1, 2):
         raise ValueError("edits must be 0, 1 or 2")
     d = documents.select("doc_id", text_key(F.col("text")).alias("key"), "text")
-    lines = d.mapInArrow(_liner, T.StructType([d.schema["doc_id"], d.schema["key"], *T.StructType.fromDDL(LINE)]))
-    lines = materialize(lines.select(F.struct("doc_id", "key", "n").alias("at"), "id1", "id2"), "lines")
+    # As many buckets as the cluster's shuffles have partitions, some times over: they grow with the input as those do.
+    buckets = 4 * max(8, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parsed = materialize(d.mapInArrow(_parser(edits, buckets), T.StructType([T.StructField("doc_id", d.schema["doc_id"].dataType), T.StructField("key", T.StringType()), *T.StructType.fromDDL(PARSED)])), "lines")
+    lines = parsed.where("bucket is null").select(F.struct("doc_id", "key", "n").alias("at"), "id1", "id2")
     firsts = lines.groupBy("id1", "id2").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("c"))
     fate = firsts.where("c > 1").select("id1", "id2", "first", F.lit(False).alias("near"))
     if edits:
-        close = _near(d, edits, lines.count())
+        close = _near(d, parsed.where("bucket is not null").select("bucket", "ks", "ids"), edits)
         fate = fate.unionByName(close.select("id1", "id2", F.lit(None).cast(fate.schema["first"].dataType).alias("first"), F.lit(True).alias("near")))
         fate = fate.groupBy("id1", "id2").agg(F.max("first").alias("first"), F.max("near").alias("near"))
     fate = materialize(fate, "fates")
     gone = lines.join(_sized(fate), ["id1", "id2"]).where("near or at <> first")
     out = materialize(gone.groupBy("at.doc_id", "at.key").agg(F.collect_set("at.n").alias("drops")), "dropped")
-    discard(lines, fate)
+    discard(parsed, fate)
     return out
 
 
