@@ -33,7 +33,7 @@ WIDTH, GRAM = 50, 25
 #: Text bytes of a chunk, of a piece of a document that is hashed at once, and of a bucket of questions.
 CHUNK, PIECE, BUCKET = 8 << 20, 1 << 20, 8 << 20
 #: Blocks of one anchor from which on their windows are compared by window, not by anchor, so that no group is large.
-HOT = 20_000
+HOT = 2_000
 #: The same for the blocks of one chunk, which decides without asking.
 LOCAL_HOT = 128
 #: A block's code: kept, claimed by a smaller document, its anchor has other blocks, or very many; and a flag for blocks

@@ -213,7 +213,7 @@ def in_process(folder, chunks, buckets=3):
     return sorted(((r["doc_id"], r["n_removed"]) for t in out for r in t.to_pylist()))
 
 
-@pytest.mark.parametrize("change", [{}, {"HOT": 5}, {"LOCAL_HOT": 3}, {"PIECE": 64}, {"weak": True}])
+@pytest.mark.parametrize("change", [{}, {"HOT": 5}, {"HOT": 1 << 30}, {"LOCAL_HOT": 3}, {"PIECE": 64}, {"weak": True}])
 def test_substrings_in_process(tmp_path, monkeypatch, change):
     """Documents cut into small pieces, many contexts of one anchor (in one chunk or in all), hashes that collide."""
     rng = np.random.default_rng(5)
