@@ -30,6 +30,8 @@ from .common import discard, materialize, small_enough, text_key
 EDITS, WORDS_PER_EDIT = 1, 8
 #: Rows up to which keys or repeated lines are broadcast (24 bytes each at most); beyond it they are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Rows up to which shared segment keys are broadcast as filters (two to four bytes a key); beyond it they are joined by a shuffle.
+FILTER_ROWS = 32_000_000
 #: Text bytes that are parsed at once (a word is never cut).
 PIECE = 1 << 20
 SAME, SHORTER, LONGER = 0, 1, 2
@@ -237,13 +239,60 @@ def _parser(edits: int, buckets: int):
     return run
 
 
-def _sharing(t: pa.Table) -> pa.Table:
+def _sharing(buckets: int):
+    def run(t: pa.Table) -> pa.Table:
+        return _shared(t, buckets)
+
+    return run
+
+
+def _shared(t: pa.Table, buckets: int) -> pa.Table:
     """Of the keys of a bucket those of different lines."""
     k, i = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint64) for c in ("ks", "ids"))
     order = np.lexsort((i, k))
     k, i = k[order], i[order]
     both = (k[1:] == k[:-1]) & (i[1:] != i[:-1])
-    return pa.table({"k": pa.array(np.unique(k[1:][both]).view(np.int64))})
+    k = np.unique(k[1:][both])
+    return pa.table({"bucket": pa.array((k % _U(buckets)).astype(np.int32)), "k": pa.array(k.view(np.int64))})
+
+
+def _spots(k: np.ndarray, mask: np.ndarray | np.uint64) -> Iterator[np.ndarray]:
+    """Three places of a key in its bucket's filter."""
+    for shift in (0, 21, 42):
+        yield _mix(k + _U(_BASE) * _U(shift + 1)) & mask
+
+
+def _filter(t: pa.Table) -> pa.Table:
+    """The Bloom filter of a bucket's keys: 16 to 32 bits for each, so that at most one other key in 200 passes."""
+    k = t.column("k").to_numpy().view(np.uint64)
+    size = 1 << max(6, (16 * len(k) - 1).bit_length())
+    bits = np.zeros(size, bool)
+    with np.errstate(over="ignore"):
+        for at in _spots(k, _U(size - 1)):
+            bits[at] = True
+    return pa.table({"bucket": t.column("bucket").slice(0, 1), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+
+class Filters:
+    """The filters of all buckets end to end; a key of none of them may pass, one of theirs always does."""
+
+    def __init__(self, found: list[tuple[int, bytes]], buckets: int) -> None:
+        self.buckets, self.bits = buckets, np.frombuffer(b"".join(x for _, x in found), np.uint8)
+        self.first, self.mask = np.zeros(buckets, np.uint64), np.zeros(buckets, np.uint64)
+        self.held, at = np.zeros(buckets, bool), 0
+        for bucket, x in found:
+            self.first[bucket], self.mask[bucket], self.held[bucket] = at, 8 * len(x) - 1, True
+            at += 8 * len(x)
+
+    def passes(self, k: np.ndarray) -> np.ndarray:
+        """Indices of the keys that pass."""
+        bucket = (k % _U(self.buckets)).astype(np.int64)
+        left = np.flatnonzero(self.held[bucket])
+        for n in range(3):
+            of = bucket[left]
+            at = self.first[of] + list(_spots(k[left], self.mask[of]))[n]
+            left = left[self.bits[at >> _U(3)] >> (at & _U(7)).astype(np.uint8) & np.uint8(1) == 1]
+        return left
 
 
 #: Lines with shared segments: n, ids, the words, and for each shared segment its key, side, how much longer, and runs.
@@ -252,7 +301,8 @@ _MEETS = pa.list_(pa.struct([("k", pa.int64()), ("d", pa.int32()), ("longer", pa
 
 
 def _reviver(edits: int, shared):
-    """Lines with a shared segment; all lines of enough words if the shared keys are too many to be brought here (None)."""
+    """Lines with a shared segment (sorted keys), or with one that passes for it (Filters); all lines of enough words if the
+    shared keys are too many to be brought here (None)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = None if shared is None else shared.value
@@ -263,7 +313,9 @@ def _reviver(edits: int, shared):
                     for d, longer, side, runs, at, key in _segment_keys(x, edits):
                         k = key.view(np.int64)
                         hit = np.arange(len(k))
-                        if known is not None:
+                        if isinstance(known, Filters):
+                            hit = known.passes(key)
+                        elif known is not None:
                             hit = np.flatnonzero(known[np.minimum(np.searchsorted(known, k), len(known) - 1)] == k) if len(known) else hit[:0]
                         flat = [v for r in runs for v in r]
                         for line, one in zip(at[hit].tolist(), k[hit].tolist()):
@@ -394,17 +446,25 @@ def _sized(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if small_enough(df, BROADCAST_ROWS) else df
 
 
-def _near(documents: DataFrame, keys: DataFrame, edits: int) -> DataFrame:
-    """id1, id2 of distinct lines near an earlier one; keys: bucket, ks, ids of the lines' segments."""
+def _near(documents: DataFrame, keys: DataFrame, edits: int, buckets: int) -> DataFrame:
+    """id1, id2 of distinct lines near an earlier one; keys: bucket, ks, ids of the lines' segments.
+
+    Lines that pass a filter without a shared segment emit variants that meet none: they cost a little and change nothing.
+    """
     spark, head = documents.sparkSession, documents.schema["doc_id"]
     rest = lambda ddl: T.StructType([head, T.StructField("key", T.StringType()), *T.StructType.fromDDL(ddl)])
-    shared = materialize(keys.groupBy("bucket").applyInArrow(_sharing, "k long"), "segments")
-    if small_enough(shared, BROADCAST_ROWS):
-        known = spark.sparkContext.broadcast(np.sort(np.array([r.k for r in shared.collect()], np.int64)))
+    shared = materialize(keys.groupBy("bucket").applyInArrow(_sharing(buckets), "bucket int, k long"), "segments")
+    n_shared = shared.count()
+    if n_shared <= BROADCAST_ROWS:
+        known = spark.sparkContext.broadcast(np.sort(shared.select("k").toArrow().column("k").to_numpy()))
+        alive = documents.mapInArrow(_reviver(edits, known), rest(ALIVE))
+    elif n_shared <= FILTER_ROWS:
+        found = shared.groupBy("bucket").applyInArrow(_filter, "bucket int, bits binary").toArrow()
+        known = spark.sparkContext.broadcast(Filters(list(zip(found.column("bucket").to_pylist(), found.column("bits").to_pylist())), buckets))
         alive = documents.mapInArrow(_reviver(edits, known), rest(ALIVE))
     else:
         every = documents.mapInArrow(_reviver(edits, None), rest(ALIVE)).select("doc_id", "key", "n", "id1", "id2", "line", F.explode("meets").alias("m"))
-        every = every.join(shared, every["m.k"] == shared["k"], "left_semi")
+        every = every.join(shared.select("k"), every["m.k"] == shared["k"], "left_semi")
         alive = every.groupBy("doc_id", "key", "n", "id1", "id2").agg(F.first("line").alias("line"), F.collect_list("m").alias("meets"))
     alive = alive.select(F.struct("doc_id", "key", "n").alias("at"), "id1", "id2", F.struct("line", "meets").alias("x"))
     alive = materialize(alive.groupBy("id1", "id2").agg(F.min("at").alias("at"), F.first("x").alias("x")).select("at", "id1", "id2", "x.line", "x.meets"), "alive")
@@ -440,7 +500,7 @@ def dropped_lines(documents: DataFrame, edits: int = EDITS) -> DataFrame:
     firsts = lines.groupBy("id1", "id2").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("c"))
     fate = firsts.where("c > 1").select("id1", "id2", "first", F.lit(False).alias("near"))
     if edits:
-        close = _near(d, parsed.where("bucket is not null").select("bucket", "ks", "ids"), edits)
+        close = _near(d, parsed.where("bucket is not null").select("bucket", "ks", "ids"), edits, buckets)
         fate = fate.unionByName(close.select("id1", "id2", F.lit(None).cast(fate.schema["first"].dataType).alias("first"), F.lit(True).alias("near")))
         fate = fate.groupBy("id1", "id2").agg(F.max("first").alias("first"), F.max("near").alias("near"))
     fate = materialize(fate, "fates")

@@ -3,6 +3,8 @@
 import hashlib
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from phenoquarry.llm import linededup as L
@@ -90,3 +92,31 @@ def test_distance():
     assert L.word_distance(list("kitten"), list("sitting"), 3) == 3 and L.word_distance(list("kitten"), list("sitting"), 2) == 3
     with pytest.raises(ValueError):
         L.dropped_lines(None, 3)
+
+
+def test_filters_let_all_their_keys_pass_and_few_others():
+    rng = np.random.default_rng(3)
+    own, other = (rng.integers(0, 1 << 63, 20_000, dtype=np.uint64) for _ in "ab")
+    buckets = [own[own % 7 == b] for b in range(6)]  # none in the last one
+    tables = [L._filter(pa.table({"bucket": pa.array([b] * len(k), pa.int32()), "k": pa.array(k.view(np.int64))})) for b, k in enumerate(buckets)]
+    f = L.Filters([(t.column("bucket")[0].as_py(), t.column("bits")[0].as_py()) for t in tables], 7)
+    with np.errstate(over="ignore"):
+        assert len(f.bits) <= 4 * len(own)
+        assert f.passes(np.concatenate(buckets)).tolist() == list(range(sum(map(len, buckets))))
+        assert len(f.passes(own[own % 7 == 6])) == 0
+        assert len(f.passes(other)) < len(other) / 100
+
+
+@pytest.mark.parametrize("filtered", [True, False])
+def test_many_shared_segments_do_not_shuffle_all_lines(spark, monkeypatch, filtered):
+    """Beyond BROADCAST_ROWS shared keys, lines are still chosen where they are read; only beyond FILTER_ROWS by a join."""
+    seen, reviver = [], L._reviver
+    monkeypatch.setattr(L, "_reviver", lambda edits, shared: seen.append(shared) or reviver(edits, shared))
+    monkeypatch.setattr(L, "BROADCAST_ROWS", 0)
+    if not filtered:
+        monkeypatch.setattr(L, "FILTER_ROWS", 0)
+    words = [f"w{i}" for i in range(10)]
+    rows = [(k, " ".join(words[:k] + ["x"] + words[k + 1 :])) for k in range(10)] + [(20 + k, f"line {k} " + " ".join(f"u{k}v{i}" for i in range(9))) for k in range(30)]
+    got = {r.doc_id: r.drops for r in L.dropped_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: [0] for k in range(1, 10) if any(L.near(rows[j][1], rows[k][1]) for j in range(k))}
+    assert (seen[0] is not None) == filtered
