@@ -214,3 +214,54 @@ def test_fusion_faults_of_many_groups_at_once():
             else:
                 assert ("area_inflation" in faults) == (union > 2.8 * max(map(geometry.area, rings)))
     assert len({tuple(x) for x in clusters.fusion_faults_of(boxes, "awn")}) > 3
+
+
+def test_rings_of_one_shape_are_thinned_once(monkeypatch):
+    """The kernel over a batch, run here: each shape's mask is thinned once, every ring has its own centre line."""
+    import pyarrow as pa
+
+    class Table:
+        select = lambda self, *_: self
+        mapInArrow = lambda self, run, schema: run
+
+    thinned, thin = [], raster.thin
+    monkeypatch.setattr(raster, "thin", lambda m: thinned.append(m.shape) or thin(m))
+    monkeypatch.setattr(shapes.F, "col", lambda name: type("C", (), {"cast": lambda s, t: s, "alias": lambda s, n: s})())
+    run = shapes.skeleton_supports(Table())
+    rings = [BOX(x, y, x + w, y + 30.0) for x, y in ((0, 0), (7, 9), (-40, 3), (1e5, 2e5)) for w in (4.0, 9.0)] + [line((0.5, 0.25), (30.5, 2.25), (9.5, 20.25)), line((0, 0), (1, 1)), None]
+    at = [None if r is None else [{"x": x, "y": y} for x, y in r] for r in rings]
+    kind = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
+    (out,) = run([pa.RecordBatch.from_arrays([pa.array(range(len(rings)), pa.int64()), pa.array(at, kind)], ["id", "ring"])])
+    assert len(thinned) == 3
+    got = {r["id"]: r for r in out.to_pylist()}
+    assert sorted(got) == list(range(9))
+    for i, r in got.items():
+        mask, origin = raster.rasterize([rings[i]])
+        path = raster.diameter_path(thin(mask)) + origin
+        path = path[::-1] if path[0][1] < path[-1][1] else path
+        assert [(p["x"], p["y"]) for p in r["raw"]] == [tuple(p) for p in path]
+        assert (r["endpoints"], r["branches"]) == raster.topology(thin(mask))
+
+
+def test_thinning_by_table_is_two_pass_thinning():
+    def slow(mask):
+        m, changed = np.pad(mask, 1), True
+        while changed:
+            changed = False
+            for first in (True, False):
+                gone = []
+                for y, x in np.argwhere(m):
+                    n = [bool(m[y + dy, x + dx]) for dy, dx in raster._AROUND]
+                    up, right, down, left = n[::2]
+                    kept = (up and right and down) or (right and down and left) if first else (up and right and left) or (up and down and left)
+                    if 2 <= sum(n) <= 6 and sum(not n[i] and n[(i + 1) % 8] for i in range(8)) == 1 and not kept:
+                        gone.append((y, x))
+                for y, x in gone:
+                    m[y, x], changed = False, True
+        return m[1:-1, 1:-1]
+
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        mask = rng.random((9, 14)) < 0.75
+        assert (raster.thin(mask) == slow(mask)).all()
+
