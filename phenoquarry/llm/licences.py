@@ -1,11 +1,14 @@
 """Licence scans: a trained classifier of paragraph windows whose predictions are confirmed by comparison with templates.
 
 A paragraph is what stands between blank lines; its words run across line breaks, comment marks and punctuation. Around
-every legal term (TERMS) a short and a long window is judged by a multinomial logistic regression over the words and
-word pairs that are present: weights are added, so what else stands in the paragraph doesn't dilute a notice. `unknown`
-is the class of all else. Temperature and offset of the families are fitted on phrasings that the weights never saw.
-
-The whole judgement is one expression of built-in functions over a row: no text is shuffled, joined or exploded.
+every word a short and a long window is judged by a multinomial logistic regression over the words and word pairs that
+are present: weights are added, so what else stands in the paragraph doesn't dilute a notice. `unknown` is the class of
+all else. Temperature and offset of the families are fitted on phrasings that the weights never saw.
+
+The whole judgement is one expression of built-in functions over a row: no text is shuffled, joined or exploded. Windows
+are passed over only if they can't be confirmed, or say what the window before them says: those without a key pair (of
+each template, the word pairs beside its keys are less than LEAST_OVERLAP of it), and those with the known words and
+pairs of the window one word before.
 """
 
 from __future__ import annotations
@@ -32,8 +35,10 @@ RADII = (10, 40)
 LEAST_PROBABILITY, LEAST_OVERLAP = 0.5, 0.5
 #: Weights nearer to zero than this are zero in the model.
 PRUNE = 0.02
-#: A window is judged only around a word that holds one of these; every template has one.
-TERMS = ("licen", "copyright", "redistribut", "warrant", "permission", "liab", "cc0", "gpl", "unencumber")
+#: Windows stand around words that hold one of these: around every word.
+TERMS = ("",)
+#: Texts that hold one of these aren't taken for ordinary text in training.
+LEGAL = ("licen", "copyright", "redistribut", "warrant", "permission", "liab", "cc0", "gpl", "unencumber")
 
 # Names, SPDX identifiers and clauses of the licences' own texts.
 FAMILIES = {
@@ -93,9 +98,8 @@ def features(words: list[str]) -> set[int]:
 
 
 def templates() -> dict[str, list[str]]:
-    """Per family the notices by which a prediction is confirmed: names and identifiers in every phrasing that has a legal term, and the clauses."""
-    every = {k: [s.format(n) for n in names for s in SAYS] + [IDENTIFIED.format(i) for i in ids] + clauses for k, (names, ids, clauses) in FAMILIES.items()}
-    return {k: [x for x in ts if any(t in x.lower() for t in TERMS)] for k, ts in every.items()}
+    """Per family the notices by which a prediction is confirmed: names and identifiers in every phrasing, and the clauses."""
+    return {k: [s.format(n) for n in names for s in SAYS] + [IDENTIFIED.format(i) for i in ids] + clauses for k, (names, ids, clauses) in FAMILIES.items()}
 
 
 class Model(NamedTuple):
@@ -141,7 +145,7 @@ def train(negatives: list[list[str]], seed: int = 7, rounds: int = 100) -> Model
     """The model, from the phrasings above and negatives (windows of ordinary words, at most NEGATIVES of them)."""
     rng = random.Random(seed)
     classes = [UNKNOWN, *sorted(FAMILIES)]
-    own = [w for x in LOOKALIKES for w in words_of(x) if not any(t in w for t in TERMS)]
+    own = [w for x in LOOKALIKES for w in words_of(x) if not any(t in w for t in LEGAL)]
     fill = [*own, *(w for ws in negatives for w in ws)][:20_000]
     split = len(negatives) * 4 // 5
     fit = _rows(_phrases(SAYS, DENIALS, LOOKALIKES, classes, True), fill, 2, rng) + [(ws, 0) for ws in negatives[:split]]
@@ -191,7 +195,7 @@ def _loss(z: np.ndarray, y: np.ndarray) -> float:
 
 
 def _any(c: Column) -> Column:
-    return reduce(lambda a, b: a | b, (F.contains(c, F.lit(t)) for t in TERMS))
+    return reduce(lambda a, b: a | b, (F.contains(c, F.lit(t)) for t in LEGAL))
 
 
 def _let(value: Column, body) -> Column:
@@ -242,16 +246,33 @@ def _comparison(model: Model) -> tuple[list[list[int]], list[list[float]], list[
     return hashes, shares, of
 
 
+def _keys(hashes: list[list[int]], shares: list[list[float]]) -> set[int]:
+    """Word pairs of which any LEAST_OVERLAP of a template holds one: the other pairs of each template are less. Rare ones first."""
+    out: set[int] = set()
+    for each, share in zip(hashes, shares):
+        left = sum(x for h, x in zip(each, share) if h not in out)
+        for x, h in sorted(((x, h) for h, x in zip(each, share) if h not in out), reverse=True):
+            if left < LEAST_OVERLAP - 1e-9:
+                break
+            out.add(h)
+            left -= x
+    return out
+
+
 def found(text: Column, model: Model) -> Column:
     """The confirmed notices of a text: array of (n: paragraph from 0, family, probability, overlap), one for a paragraph and family."""
     k = len(model.families)
-    buckets, key, row = _table(list(model.weights))
-    keys, rows_ = _fixed(key, "array<bigint>"), _fixed(row, "array<int>")
-    weights = _fixed([float(x) for w in model.weights.values() for x in w], "array<double>")
+    hashes, shares, of = _comparison(model)
+    own = _keys(hashes, shares)
+    known = sorted(own) + sorted({*model.weights, *(h for each in hashes for h in each)} - own)
+    number = {f: r for r, f in enumerate(known)}
+    buckets, key, row = _table(known)
+    keys, rows_, own_ = _fixed(key, "array<bigint>"), _fixed(row, "array<int>"), _fixed(sorted(own), "array<bigint>")
+    weights = _fixed([float(x) for f in known for x in model.weights.get(f, np.zeros(k))], "array<double>")
     biases = _fixed([float(x) for x in model.biases], "array<double>")
     names = _fixed(model.families, "array<string>")
-    hashes, shares, of = _comparison(model)
-    t_hash, t_share, t_of = _fixed(hashes, "array<array<bigint>>"), _fixed(shares, "array<array<double>>"), _fixed(of, "array<array<int>>")
+    t_row = _fixed([[number[h] for h in each] for each in hashes], "array<array<int>>")
+    t_share, t_of = _fixed(shares, "array<array<double>>"), _fixed(of, "array<array<int>>")
 
     def row_of(f: Column) -> Column:
         place = (2 * F.pmod(f, F.lit(buckets))).cast("int")
@@ -261,43 +282,54 @@ def found(text: Column, model: Model) -> Column:
         pair = F.transform(F.sequence(F.lit(1), F.size(x) - 1), lambda i: F.xxhash64(F.element_at(x, i), F.element_at(x, i + 1)))
         return F.when(F.size(x) > 1, pair).otherwise(F.array().cast("array<bigint>"))
 
-    def overlap(pairs: Column, t: Column) -> Column:
-        every = F.sequence(F.lit(0), F.size(_at(t_hash, t)) - 1)
-        return F.aggregate(every, F.lit(0.0), lambda a, j: a + F.when(F.array_contains(pairs, _at(_at(t_hash, t), j)), _at(_at(t_share, t), j)).otherwise(F.lit(0.0)))
+    def overlap(rows: Column, t: Column) -> Column:
+        every = F.sequence(F.lit(0), F.size(_at(t_row, t)) - 1)
+        return F.aggregate(every, F.lit(0.0), lambda a, j: a + F.when(F.array_contains(rows, _at(_at(t_row, t), j)), _at(_at(t_share, t), j)).otherwise(F.lit(0.0)))
 
-    def judged(x: Column) -> Column:
-        """A window (hashes of its words) to (family's number, probability, pairs); number -1 if `unknown` is likelier."""
-        grams = lambda pairs: F.array_distinct(F.concat(F.transform(x, lambda h: F.xxhash64(h)), pairs))
-        hits = lambda pairs: F.filter(F.transform(grams(pairs), row_of), lambda r: r >= 0)
-        score = lambda rows: F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda c: F.aggregate(rows, _at(biases, c), lambda a, r: a + _at(weights, r * k + c)))
+    def judged(rows: Column) -> Column:
+        """A window (rows of its known words and pairs) to (family's number, probability, overlap); number -1 if `unknown` is likelier."""
+        score = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda c: F.aggregate(rows, _at(biases, c), lambda a, r: a + _at(weights, r * k + c)))
 
-        def top(z: Column, pairs: Column) -> Column:
+        def top(z: Column) -> Column:
             most = F.array_max(z)
             total = F.aggregate(z, F.exp(-most), lambda a, v: a + F.exp(v - most))
-            number = F.when((most > 0) & (1 / total >= LEAST_PROBABILITY), F.array_position(z, most).cast("int") - 1).otherwise(F.lit(-1))
-            return F.struct(number.alias("c"), (1 / total).alias("probability"), pairs.alias("pairs"))
+            return F.struct(F.when((most > 0) & (1 / total >= LEAST_PROBABILITY), F.array_position(z, most).cast("int") - 1).otherwise(F.lit(-1)).alias("c"), (1 / total).alias("probability"))
+
+        best = lambda j: F.when(j["c"] >= 0, F.array_max(F.transform(_at(t_of, j["c"]), lambda t: overlap(rows, t)))).otherwise(F.lit(0.0))
+        return _let(_let(score, top), lambda j: F.struct(j["c"].alias("c"), j["probability"].alias("probability"), best(j).alias("overlap")))
+
+    def windows(one: Column, two: Column, r: int) -> Column:
+        """The windows of radius r that hold a key pair, judged; one and two are the rows of the words and of the pairs."""
+        n = F.size(one)
+        at = F.filter(F.sequence(F.lit(1), F.size(two)), lambda i: (F.element_at(two, i) >= 0) & (F.element_at(two, i) < len(own)))
+
+        def around(a: Column) -> Column:
+            """The middles of windows that hold both words of a key pair, each once."""
+            first = lambda p, i: F.greatest(p + 1 - r, F.lit(1), F.when(i > 0, F.get(a, i - 1) + r + 1).otherwise(F.lit(1)))
+            return F.flatten(F.transform(a, lambda p, i: F.when(first(p, i) <= F.least(p + r, n), F.sequence(first(p, i), F.least(p + r, n))).otherwise(F.array().cast("array<int>"))))
 
-        return _let(pairs_of(x), lambda pairs: _let(hits(pairs), lambda rows: _let(score(rows), lambda z: top(z, pairs))))
+        def changes(i: Column) -> Column:
+            """Does a known word or pair come in or go out between the windows around i - 1 and i?"""
+            known_at = lambda x, j: F.coalesce(F.get(x, j - 1) >= 0, F.lit(False))
+            return (i == 1) | known_at(one, i + r) | known_at(two, i + r - 1) | known_at(one, i - 1 - r) | known_at(two, i - 1 - r)
 
-    def confirmed(j: Column) -> Column:
-        best = F.array_max(F.transform(_at(t_of, j["c"]), lambda t: overlap(j["pairs"], t)))
-        return F.struct(_at(names, j["c"]).alias("family"), j["probability"].alias("probability"), best.alias("overlap"))
+        def rows(i: Column) -> Column:
+            a, b = F.greatest(i - r, F.lit(1)), F.least(i + r, n)
+            return F.array_distinct(F.filter(F.concat(F.slice(one, a, b - a + 1), F.slice(two, a, b - a)), lambda x: x >= 0))
 
-    def windows(w: Column, h: Column) -> Column:
-        at = F.filter(F.sequence(F.lit(1), F.size(w)), lambda i: _any(F.element_at(w, i)))
-        around = lambda a, r: F.transform(a, lambda i: F.slice(h, F.greatest(i - r, F.lit(1)), F.least(i + r, F.size(h)) - F.greatest(i - r, F.lit(1)) + 1))
-        return _let(at, lambda a: F.array_distinct(F.concat(*[around(a, r) for r in RADII])))
+        return F.transform(F.filter(_let(at, around), changes), lambda i: _let(rows(i), judged))
 
-    def notices(p: Column, n: Column) -> Column:
-        seen = _let(F.array_remove(F.split(p, _GAP), ""), lambda w: _let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: windows(w, h)))
-        good = F.filter(F.transform(F.filter(F.transform(seen, judged), lambda j: j["c"] >= 0), confirmed), lambda x: x["overlap"] >= LEAST_OVERLAP)
-        most = lambda g, f, c: F.array_max(F.transform(F.filter(g, lambda x: x["family"] == f), lambda x: x[c]))
-        each = lambda g: F.transform(F.array_sort(F.array_distinct(F.transform(g, lambda x: x["family"]))), lambda f: F.struct(n.alias("n"), f.alias("family"), most(g, f, "probability").alias("probability"), most(g, f, "overlap").alias("overlap")))
+    def notices(h: Column, pairs: Column, n: Column) -> Column:
+        seen = _let(F.transform(h, lambda x: row_of(F.xxhash64(x))), lambda one: _let(F.transform(pairs, row_of), lambda two: F.concat(*[windows(one, two, r) for r in RADII])))
+        good = F.filter(seen, lambda x: (x["c"] >= 0) & (x["overlap"] >= LEAST_OVERLAP))
+        most = lambda g, c, x: F.array_max(F.transform(F.filter(g, lambda y: y["c"] == c), lambda y: y[x]))
+        each = lambda g: F.transform(F.array_sort(F.array_distinct(F.transform(g, lambda x: x["c"]))), lambda c: F.struct(n.alias("n"), _at(names, c).alias("family"), most(g, c, "probability").alias("probability"), most(g, c, "overlap").alias("overlap")))
         return _let(good, each)
 
     none = F.array().cast("array<struct<n:int,family:string,probability:double,overlap:double>>")
-    in_text = lambda low: F.flatten(F.transform(F.split(low, _BLANK), lambda p, n: F.when(_any(p), notices(p, n)).otherwise(none)))
-    return F.coalesce(_let(F.lower(text), lambda low: F.when(_any(low), in_text(low))), none)
+    in_words = lambda h, n: _let(pairs_of(h), lambda pairs: F.when(F.arrays_overlap(pairs, own_), notices(h, pairs, n)).otherwise(none))
+    in_paragraph = lambda p, n: _let(F.transform(F.array_remove(F.split(p, _GAP), ""), lambda x: F.xxhash64(x)), lambda h: in_words(h, n))
+    return F.coalesce(F.flatten(F.transform(F.split(F.lower(text), _BLANK), in_paragraph)), none)
 
 
 def sample_negatives(documents: DataFrame, n_documents: int = SAMPLED_DOCUMENTS, bound: int = NEGATIVES) -> list[list[str]]:

@@ -105,3 +105,35 @@ def test_calibration_on_unseen_phrasings(model):
     right = [names[int(np.argmax(x))] == k for x, (_, k) in zip(p, rows)]
     sure = [float(x.max()) for x in p]
     assert np.mean(right) > 0.75 and abs(np.mean(sure) - np.mean(right)) < 0.2
+
+
+def test_parts_of_notices_without_a_legal_term(spark, model):
+    """Every word has its windows: parts of notices that hold no legal term, alone and inside other words."""
+    noise = "anat with by of nteres atre are thnt eringing onheed " * 40
+    parts = {
+        "shall be included in all copies or substantial portions of the Software": "mit", "copies of the Software, and to permit persons to whom the Software is furnished to do so": "mit",
+        "with or without modification, are permitted provided that the following conditions are met": "bsd", "Released under CC BY 4.0.": "cc-by", "released under the MIT": "mit", "You should have received a copy of the GNU General Public": "gpl",
+    }
+    assert not any(t in x.lower() for x in parts for t in L.LEGAL)
+    assert families(spark, model, *parts) == list(parts.values())
+    assert families(spark, model, *(noise + x + " " + noise for x in parts)) == list(parts.values())
+    assert families(spark, model, "researchers from MIT and Stanford", "shall be included in the price", "published by the Free Software Foundation", noise) == [""] * 4
+
+
+def test_key_pairs_are_in_whatever_may_be_confirmed(model):
+    hashes, shares, _ = L._comparison(model)
+    keys = L._keys(hashes, shares)
+    assert all(sum(x for h, x in zip(*t) if h not in keys) < L.LEAST_OVERLAP for t in zip(hashes, shares))
+    assert len(keys) < len({h for t in hashes for h in t})
+
+
+def test_dense_text_equals_loops(spark, model):
+    """All clauses in one paragraph, in order and shuffled: windows with many known words, at both ends, and ones that share key pairs."""
+    clauses = [x for _, _, own in L.FAMILIES.values() for x in own]
+    words = " ".join(clauses).split()
+    texts = [" ".join(clauses), " ".join(clauses[::-1]), " filler words here ".join(clauses), " ".join(words[::-1]), "MIT license", "license", "MIT", ""]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {(r.doc_id, r.n, r.family): (r.probability, r.overlap) for r in L.scan(d, model).collect()}
+    want = {(i, n, f): x for i, t in enumerate(texts) for (n, f), x in plain(t, model).items()}
+    assert got.keys() == want.keys() and len(got) > 20
+    assert all(got[k] == pytest.approx(x, abs=1e-9) for k, x in want.items())
