@@ -164,17 +164,18 @@ def reject_unidentified(documents: DataFrame, least_score: float) -> DataFrame:
     model = train(documents.where(~is_held_out()))
     langs, p = model
     names = documents.columns
-    packed = documents.select("text", F.struct(*names).alias("row"))
+    packed = documents.select(F.struct(*names).alias("row"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _kept(batches, langs, p, least_score)
 
-    return packed.mapInArrow(keep, packed.select("row").schema).select("row.*")
+    return packed.mapInArrow(keep, packed.schema).select("row.*")
 
 
 def _kept(batches, langs, prototypes, least_score):
     predict_batch = _predictor(langs, prototypes)
     for b in batches:
+        b = pa.RecordBatch.from_arrays([b.column("row").field("text"), b.column("row")], ["text", "row"])
         for out in predict_batch(iter([b])):
             good = [i for i, (x, s) in enumerate(zip(out.column("lang_pred").to_pylist(), out.column("score").to_pylist())) if x != UNKNOWN and s >= least_score]
             yield out.select(["row"]).take(pa.array(good, pa.int64()))

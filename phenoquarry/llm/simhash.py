@@ -47,6 +47,11 @@ def fingerprint(text: str | None) -> int:
         starts = [0, *ends[: -SHINGLE]]
         digest = xxhash.xxh64_intdigest
         h = np.fromiter((digest(joined[a : b - 1], SEED) for a, b in zip(starts, ends[SHINGLE - 1 :])), np.uint64, len(starts))
+    return majority(h)
+
+
+def majority(h: np.ndarray) -> int:
+    """The fingerprint (signed) of hashes (unsigned): a bit is set if over half of them have it."""
     ones = np.zeros(BITS, np.int64)
     for i in range(0, len(h), 1 << 16):
         part = h[i : i + (1 << 16)]
